@@ -6,11 +6,47 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wattfleet.llm import language_id
 from wattfleet.llm.bpe import encode_decode
 from wattfleet.llm.common import LOWER, UPPER, table
 from wattfleet.llm.exact_dedup import exact_duplicates
+from wattfleet.llm.line_chunks import dedup_chunks
 from wattfleet.llm.packing import pack
+from wattfleet.llm.substring_dedup import dedup_substrings
+from wattfleet.llm.token_counts import document_token_counts
+from wattfleet.llm.url_filter import host_rule, judge_urls, pattern_rule
+
+HOST_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+#: Patterns that decide where no host rule does.
+PATTERNS = ["||spam-farm.", "||cheap-pills.", "||ads-track.", "/wp-login.php", "^utm_campaign=spam^"]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [host_rule(*r) for r in HOST_RULES] + [pattern_rule(p) for p in PATTERNS]
+    out = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    named = F.col("rule").isin([host + path for _, host, path in HOST_RULES])
+    return out.select("page_id", "host", "path", F.when(named, F.col("rule")).alias("rule"), "verdict", F.when(~named, F.col("rule")).alias("pattern"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=25)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens", "complete")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.filter(~language_id.held_out() & F.col("doc_id").isNotNull()))
+    out = language_id.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,12 +62,55 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_token_counts": op3_token_counts,
+    "op4_language_id": op4_language_id,
+    "op7_line_dedup": op7_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
 }
 
+_PATTERN_SQL = " ".join(
+    f"WHEN regexp_matches(u, '{e}') THEN '{p}'"
+    for p, e in sorted(((p, pattern_rule(p).expression) for p in PATTERNS), key=lambda x: (-len(x[0]), x[0]))
+)
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": f"""
+        WITH r(verdict, host, path) AS (VALUES {", ".join(map(str, HOST_RULES))}),
+        p AS (SELECT page_id, translate(url, '{UPPER}', '{LOWER}') AS u,
+                     translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+                     regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        b AS (SELECT p.page_id, max(struct_pack(n := length(r.host || r.path), rule := r.host || r.path, verdict := r.verdict)) AS best
+              FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.page_id),
+        f AS (SELECT p.*, CASE {_PATTERN_SQL} END AS fits FROM p)
+        SELECT f.page_id, f.host, f.path, b.best.rule AS rule,
+               coalesce(b.best.verdict, CASE WHEN f.fits IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+               CASE WHEN b.best IS NULL THEN f.fits END AS pattern
+        FROM f LEFT JOIN b USING (page_id)""",
+    "op2_substring_dedup": r"""
+        WITH l AS (SELECT doc_id, n, unnest(lines) AS line, generate_subscripts(lines, 1) AS no
+                   FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n, string_split(text, chr(10)) AS lines FROM documents)),
+        o AS (SELECT *, trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') AS norm,
+                     sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no) - length(line) - 1 AS start FROM l),
+        c AS (SELECT *, len(string_split(norm, ' ')) >= 25 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, no) > 1 AS cut FROM o)
+        SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT cut), '') AS text,
+               coalesce(string_agg(start::BIGINT || '-' || (start + length(line))::BIGINT, ',' ORDER BY no) FILTER (cut), '') AS removed_spans,
+               count(*) FILTER (cut) AS n_removed
+        FROM c GROUP BY doc_id""",
+    "op7_line_dedup": f"""
+        WITH l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS no, len(lines) AS n
+                   FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)),
+        h AS (SELECT *, ('0x' || substr(md5(line), 1, 14))::BIGINT AS h FROM l),
+        r AS (SELECT *, xor(xor(coalesce(lag(h, 2) OVER w, 0) << 2, coalesce(lag(h, 1) OVER w, 0) << 1), h) AS roll FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
+        e AS (SELECT *, (roll % 4 = 0 OR no = n - 1)::INT AS ends FROM r),
+        g AS (SELECT *, sum(ends) OVER (PARTITION BY doc_id ORDER BY no) - ends AS chunk FROM e),
+        c AS (SELECT doc_id, chunk, count(*) AS lines, string_agg(line, chr(10) ORDER BY no) AS body FROM g GROUP BY doc_id, chunk),
+        d AS (SELECT *, lines > 1 AND row_number() OVER (PARTITION BY lines > 1, body ORDER BY doc_id, chunk) > 1 AS cut FROM c)
+        SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT cut), '') AS text,
+               coalesce(sum(lines) FILTER (cut), 0)::BIGINT AS removed_lines
+        FROM d GROUP BY doc_id""",
     "op8_exact_dedup": f"""
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
