@@ -52,13 +52,11 @@ def test_exact_hot_group(spark):
 
 def brute_lines(rows, min_words):
     seen, out = set(), {}
-    for d, t in sorted({(d is not None, d or 0, t) for d, t in rows if t is not None}):
-        pass
     for has, d, t in sorted({(d is not None, d or 0, t) for d, t in rows if t is not None}):
         gone = []
         for start, end in units_of(t):
             n = normalised(t[start:end])
-            if len(n.split(" ")) >= min_words:
+            if len(n.split()) >= min_words:
                 if n in seen:
                     gone.append((start, end))
                 seen.add(n)

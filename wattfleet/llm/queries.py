@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattfleet.llm import language_id
+from wattfleet.llm.ann_scan import search
 from wattfleet.llm.bpe import encode_decode
 from wattfleet.llm.common import LOWER, UPPER, table
 from wattfleet.llm.exact_dedup import exact_duplicates
 from wattfleet.llm.line_chunks import dedup_chunks
+from wattfleet.llm.minhash_forest import near_duplicates
 from wattfleet.llm.packing import pack
 from wattfleet.llm.substring_dedup import dedup_substrings
 from wattfleet.llm.token_counts import document_token_counts
@@ -45,6 +47,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -66,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_language_id": op4_language_id,
+    "op5_minhash": op5_minhash,
+    "op6_ann": op6_ann,
     "op7_line_dedup": op7_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe": op9_bpe,

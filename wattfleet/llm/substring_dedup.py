@@ -58,7 +58,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         if end - start < 2 * min_words - 1:
                             continue
                         norm = normalised(text[start:end])
-                        if norm.count(" ") + 1 >= min_words:
+                        if norm and norm.count(" ") + 1 >= min_words:
                             found.append((i, start, end, hashlib.sha256(norm.encode()).digest()[:16]))
                 rows, starts, ends, digests = zip(*found) if found else ((), (), (), ())
                 at = pa.array(rows, pa.int64())
