@@ -7,8 +7,9 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHED = 600_000
+CACHED = 500_000
 MARK = "<|endoftext|>"
+_MARKS = b".,;:!?"
 
 
 class WordEncoder:
@@ -31,22 +32,40 @@ class WordEncoder:
             raise ValueError("a vocabulary that drops white space and has an end-of-text token is needed")
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.table: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> None:
-        plain = []
+        """Puts words into the table, by way of their cores: a word in lower case without sentence marks at its end."""
+        split, new = [], {}
+        if len(self.cores) > CACHED:
+            self.cores.clear()
         for w in words:
             if b"<|" in w:
                 self.table[w] = np.array(self.own.encode(w.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-            else:
-                plain.append(w)
-        for k in range(0, len(plain), 500):
-            some = plain[k : k + 500]
-            ids = np.array(self.tokenizer.encode(MARK.join([w.decode() for w in some]), add_special_tokens=False).ids, np.int64)
-            ends = [*np.flatnonzero(ids == self.mark), len(ids)]
-            ids, at = ids.astype(self.kind), 0
-            for w, end in zip(some, ends, strict=True):
-                self.table[w] = ids[at:end].tobytes()
+                continue
+            core = w.lower() if w.isascii() else w
+            end = b""
+            if core[-1] in _MARKS:
+                bare = core.rstrip(_MARKS)
+                # a letter or digit and a mark never share a pre-token
+                if bare and (bare[-1:].isalnum() or bare[-1] > 127 and bare.decode()[-1].isalpha()):
+                    core, end = bare, core[len(bare) :]
+            split.append((w, core, end))
+            for part in (core, end):
+                if part and part not in self.cores:
+                    new[part] = None
+        plain = list(new)
+        for k in range(0, len(plain), 1000):
+            some = plain[k : k + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([MARK.join([w.decode() for w in some])], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(ids == self.mark).tolist()
+            data, at, size = ids.astype(self.kind).tobytes(), 0, self.kind.itemsize
+            for w, end in zip(some, [*ends, len(ids)], strict=True):
+                self.cores[w] = data[at * size : end * size]
                 at = end + 1
+        for w, core, end in split:
+            self.table[w] = self.cores[core] + self.cores[end] if end else self.cores[core]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian bytes of `kind`; null counts as empty."""
@@ -55,14 +74,19 @@ class WordEncoder:
         size = 0
 
         def flush() -> None:
-            need = set().union(*some)
-            new = need - self.table.keys()
-            if len(self.table) + len(new) > CACHED:
-                self.table.clear()
-                new = need
-            self.learn(list(new))
-            get = self.table.__getitem__
-            out.extend(b"".join(map(get, ws)) for ws in some)
+            found = [list(map(self.table.get, ws)) for ws in some]
+            lost = {w for ws, ids in zip(some, found) if None in ids for w, x in zip(ws, ids) if x is None}
+            if lost:
+                if len(self.table) + len(lost) > CACHED:  # what was used of late stays for one more round
+                    self.older, self.table = self.table, {}
+                older = self.older
+                self.table |= {w: older[w] for w in lost & older.keys()}
+                self.learn([w for w in lost if w not in self.table])
+                get = self.table.get
+                for ws, ids in zip(some, found):
+                    if None in ids:
+                        ids[:] = [x if x is not None else get(w) for w, x in zip(ws, ids)]
+            out.extend(map(b"".join, found))
             some.clear()
 
         for text in texts:
