@@ -280,12 +280,16 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def some_of(sets: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """The sets of these keys; few enough keys come to the sets, so that these aren't shuffled whole."""
+    return sets.join(F.broadcast(keys) if keys.count() <= MAX_BROADCAST else keys, names, "left_semi")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets agree: 100 * intersection >= percent * union. sets: _id, n_shingles, _set."""
     pairs = saved(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-    wanted = F.broadcast(ids) if pairs.count() <= MAX_BROADCAST // 2 else ids
-    whole = sets.select("_id", "_set", "n_shingles").join(wanted, "_id", "left_semi").dropDuplicates(["_id"])
+    ids = saved(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "wanted")
+    whole = some_of(sets.select("_id", "_set", "n_shingles"), ids, ["_id"]).dropDuplicates(["_id"])
     full = pairs.join(whole.withColumnsRenamed({"_id": "a", "_set": "sa", "n_shingles": "na"}), "a").join(whole.withColumnsRenamed({"_id": "b", "_set": "sb", "n_shingles": "nb"}), "b")
     kind = pairs.schema["a"].dataType.simpleString()
 
@@ -339,7 +343,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         lead = orders(alone, range(trees), base, base).select("_tree", "_sig", "_id")
         shared = lead.join(dense, "_id", "left_semi").select("_tree", "_sig").distinct()
         inside = lead.join(shared, ["_tree", "_sig"], "left_semi").select("_id").distinct()
-        deep = saved(deeper(sets.join(chosen, ["_id", "_key"], "left_semi").join(inside, "_id", "left_semi"), deep_trees * deep_base), "deep")
+        wanted = saved(chosen.join(inside, "_id", "left_semi"), "inside")
+        deep = saved(deeper(some_of(sets, wanted, ["_id", "_key"]), deep_trees * deep_base), "deep")
         walks = walked(orders(known(deep, links), range(deep_trees), deep_base, deep_base + 4), deep_base, reach, percent)
         links = saved(links.union(agreed(walks, deep)), "links")
     comp = components(links)
