@@ -59,5 +59,6 @@ def test_odd_rows(spark, model):
 
 def test_scripts_narrow():
     m = li.Model({"ru": {"^мы": 1, "мы$": 1}, "en": {"^we": 1, "we$": 1}}, {"ru": {"cyrillic": 100}, "en": {"latin": 100}})
-    assert m.score("мы").tolist()[m.langs.index("en")] == -30 and m.score("we").tolist()[m.langs.index("ru")] == -30
-    assert not m.score("漢").any()
+    s = m.scores(["мы", "we", "漢", "ы"])
+    en, ru = m.langs.index("en"), m.langs.index("ru")
+    assert s[0][en] == -30 and s[0][ru] == 0 and s[1][ru] == -30 and s[1][en] == 0 and not s[2].any() and s[3][ru] == 0

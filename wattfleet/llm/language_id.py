@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-CACHED = 300_000
+CACHED = 400_000
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Ranges of code points by script; what lies in none counts as "other".
 SCRIPTS = [
@@ -31,16 +31,27 @@ SCRIPTS = [
 ]
 
 
-def script_of(word: str) -> str:
-    """The script of the word's first letter."""
-    c = ord(word[0])
-    return next((s for s, a, b in SCRIPTS if a <= c <= b), "other")
+#: Scripts by number, and for every code point where ranges start or end the script from there on.
+NAMES = sorted({x[0] for x in SCRIPTS}) + ["other"]
+_EDGES = sorted({e for _, a, b in SCRIPTS for e in (a, b + 1)} | {0})
+_FROM = np.array([next((NAMES.index(s) for s, a, b in SCRIPTS if a <= e <= b), len(NAMES) - 1) for e in _EDGES])
+
+
+def scripts_of(words: list[str]) -> np.ndarray:
+    """The number of the script of each word's first letter."""
+    return _FROM[np.searchsorted(_EDGES, [ord(w[0]) for w in words], "right") - 1]
+
+
+def words_of(token: str) -> list[str]:
+    """The words of a run without white space, most of which are one word and sentence marks."""
+    bare = token.rstrip(".,;:!?")
+    return [bare] if bare.isalpha() else _WORD.findall(token)
 
 
 def grams(word: str) -> list[str]:
     """Trigrams of the word between word ends."""
     w = f"^{word.lower()}$"
-    return [w[i : i + 3] for i in range(len(w) - 2)]
+    return [a + b + c for a, b, c in zip(w, w[1:], w[2:])]
 
 
 class Model:
@@ -56,16 +67,21 @@ class Model:
             self.logp[:, j] = math.log(smoothing) - below
             for g, n in counts[lang].items():
                 self.logp[self.row[g], j] = math.log(n + smoothing) - below
-        self.candidates = {s: np.array([scripts[lang].get(s, 0) >= least_script * sum(scripts[lang].values()) for lang in self.langs]) for s in {x[0] for x in SCRIPTS} | {"other"}}
-
-    def score(self, word: str) -> np.ndarray:
-        """Log-probabilities by language, 0 at best; words no candidate could have written say nothing."""
-        may = self.candidates[script_of(word)]
-        if not may.any():
-            return np.zeros(len(self.langs), np.float32)
-        s = self.logp[[self.row.get(g, -1) for g in grams(word)]].sum(0)
+        #: by script and language: whether the language uses the script
+        self.may = np.array([[scripts[lang].get(s, 0) >= max(1, least_script * sum(scripts[lang].values())) for lang in self.langs] for s in NAMES]).reshape(len(NAMES), len(self.langs))
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log-probabilities by word and language, 0 at best; words no candidate could have written say nothing."""
+        if not words:
+            return np.zeros((0, len(self.langs)), np.float32)
+        get, each = self.row.get, [grams(w) for w in words]
+        rows = np.array([get(g, -1) for gs in each for g in gs])
+        starts = np.cumsum([0, *map(len, each[:-1])])
+        s = np.add.reduceat(self.logp[rows], starts, 0)
+        may = self.may[scripts_of(words)]
         s = np.where(may, s, -np.inf)
-        return np.maximum(s - s.max(), -30).astype(np.float32)
+        best = s.max(1, keepdims=True)
+        return np.where(may.any(1, keepdims=True), np.maximum(s - np.where(np.isfinite(best), best, 0), -30), 0).astype(np.float32)
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -88,46 +104,48 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 
 
 class Labeller:
-    """Labels batches of texts; one for each task."""
+    """Labels batches of texts; one for each task. Runs without white space are looked up in a bounded table."""
 
     def __init__(self, model: Model, penalty: float):
         self.model, self.penalty = model, penalty
-        self.tokens: dict[str, tuple[list[int], list[int]]] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.tokens.clear()
+        self.tokens: dict[str, int] = {}
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.model.langs)), np.float32)
-
-    def word(self, w: str) -> int:
-        i = self.rows.get(w)
-        if i is None:
-            i = self.rows[w] = len(self.rows)
-            if i == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[i] = self.model.score(w)
-        return i
-
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        self.table = np.zeros((0, len(self.model.langs)), np.float32)
+        # of every token: its first place in word_rows and word_sizes, and how many words it has
+        self.first, self.count, self.word_rows, self.word_sizes = (np.zeros(0, np.int32) for _ in range(4))
+
+    def learn(self, new: list[str]) -> None:
+        each = [words_of(t) for t in new]
+        flat = [w for ws in each for w in ws]
+        fresh = list(dict.fromkeys(w for w in flat if w not in self.rows))
+        self.rows.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh))))
+        self.table = np.concatenate([self.table, self.model.scores(fresh)])
+        count = np.array([len(ws) for ws in each], np.int32)
+        self.tokens.update(zip(new, range(len(self.tokens), len(self.tokens) + len(new))))
+        self.first = np.concatenate([self.first, len(self.word_rows) + np.cumsum(count, dtype=np.int32) - count])
+        self.count = np.concatenate([self.count, count])
+        self.word_rows = np.concatenate([self.word_rows, np.array([self.rows[w] for w in flat], np.int32)])
+        self.word_sizes = np.concatenate([self.word_sizes, np.array([len(w) for w in flat], np.int32)])
+
+    def words(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Rows in the table and letters of every word."""
-        ids: list[int] = []
-        sizes: list[int] = []
-        get = self.tokens.get
-        for t in text.split():
-            found = get(t)
-            if found is None:
-                ws = _WORD.findall(t)
-                found = self.tokens[t] = [self.word(w) for w in ws], [len(w) for w in ws]
-            ids += found[0]
-            sizes += found[1]
-        return np.array(ids, np.int32), np.array(sizes, np.int32)
+        at = np.fromiter(map(self.tokens.__getitem__, tokens), np.int32, len(tokens))
+        n = self.count[at]
+        place = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return self.word_rows[place], self.word_sizes[place]
 
     def label(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text the label and the letters of every word."""
-        if len(self.tokens) > CACHED:
+        tokens = [(t or "").split() for t in texts]
+        new = set().union(*tokens) - self.tokens.keys()
+        if len(self.tokens) + len(new) > CACHED:
             self.reset()
-        found = [self.words(t or "") for t in texts]
+            new = set().union(*tokens)
+        self.learn(list(new))
+        found = [self.words(t) for t in tokens]
         out: list = [(np.zeros(0, np.int16), s) for _, s in found]
         order = sorted((i for i in range(len(found)) if len(found[i][0])), key=lambda i: len(found[i][0]))
         at = 0
@@ -150,11 +168,15 @@ class Labeller:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 20_000, max_grams: int = 200_000) -> Model:
     """Learns from labelled documents: those with a text and a lang.
 
-    Bounds: the max_docs documents with the smallest hash of their identifier are counted, and of
-    their trigrams the max_grams most frequent (by language) are kept.
+    Bounds: if there are more than max_docs, only those are counted whose hash of identifier and
+    text falls into the first max_docs / count of its range, so about max_docs; and of their
+    trigrams the max_grams most frequent (by language) are kept.
     """
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    rows = rows.orderBy("h").limit(max_docs).repartition(64)
+    n = rows.count()
+    if n > max_docs:
+        rows = rows.filter(F.col("h") < int(-(2**63) + 2**64 * (max_docs / n)))
+    rows = rows.repartition(64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
@@ -167,8 +189,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         yield from flush(n, seen)
 
     def flush(n: Counter, seen: Counter) -> Iterator[pa.RecordBatch]:
-        for (lang, w), k in seen.items():
-            n[lang, "script", script_of(w)] += k * len(w)
+        for ((lang, w), k), script in zip(seen.items(), scripts_of([w for _, w in seen])):
+            n[lang, "script", NAMES[script]] += k * len(w)
             for g in grams(w):
                 n[lang, "gram", g] += k
         seen.clear()
