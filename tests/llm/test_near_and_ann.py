@@ -34,7 +34,7 @@ def test_dense_region(spark):
             w[rng.randrange(60)] = f"x{rng.randrange(40)}"
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    same(near_duplicates(df, width=2, reach=4), rows, 2, 80)
+    same(near_duplicates(df, width=2, reach=2), rows, 2, 80)
 
 
 def test_near_odd_rows(spark):

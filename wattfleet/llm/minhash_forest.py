@@ -12,7 +12,8 @@ dense. Three passes:
    `reach` others that share `base` values. A dense region of copies is one component by now and
    yields no pair;
 3. signatures whose walk in pass 2 hit the limit lie in regions that many documents of other
-   components share. They go through a second forest of more and deeper trees, walked likewise.
+   components share. These go through another forest of more and deeper trees, walked likewise;
+   what hits the limit there too is compared, set by set, with its whole region in blocks.
 
 Candidates become links only when the full shingle sets agree to the threshold; no link rests on
 signatures.
@@ -117,9 +118,9 @@ def shingled(docs: DataFrame, width: int, values: int, id_col: str, text_col: st
     return slim.mapInArrow(run, f"_id {slim.schema[0].dataType.simpleString()}, n_shingles long, _key binary, _sig binary, _set binary")
 
 
-def deeper(sets: DataFrame, values: int) -> DataFrame:
+def deeper(sets: DataFrame, values: int, seed: int) -> DataFrame:
     """Signatures by other functions, from packed sets: _id, n_shingles, _sig."""
-    mult, add = functions(values, 2)
+    mult, add = functions(values, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,12 +153,12 @@ def orders(reps: DataFrame, trees: range, base: int, depth: int) -> DataFrame:
     return slim.mapInArrow(run, f"_tree int, _sig binary, _id {kind}, _comp {kind}, n_shingles long")
 
 
-def walk(region: np.ndarray, comp: np.ndarray, size: np.ndarray, reach: int, percent: int, fresh: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def walk(region: np.ndarray, comp: np.ndarray, size: np.ndarray, reach: int, percent: int, fresh: int = 0, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (i, j) met by walks over sorted rows, and the rows whose walk ended at `reach` with more to meet.
 
     A walk stays in its row's region and passes whole runs of its own component (-1: none) at once.
     Pairs whose sizes rule the threshold out are met but left out; so are pairs on one side of
-    `fresh`, if that is given.
+    `fresh`, if that is given, and all pairs of rows at the limit where `whole` is set.
     """
     n = len(region)
     change = np.flatnonzero((comp[1:] != comp[:-1]) | (comp[1:] < 0)) + 1
@@ -177,7 +178,11 @@ def walk(region: np.ndarray, comp: np.ndarray, size: np.ndarray, reach: int, per
             a.append(i[fits])
             b.append(p[fits])
             p = p + 1
-    return np.concatenate(a), np.concatenate(b), i
+    a, b = np.concatenate(a), np.concatenate(b)
+    if whole and len(i):
+        stays = ~np.isin(a, i)
+        a, b = a[stays], b[stays]
+    return a, b, i
 
 
 def regions(tree: np.ndarray, sig: pa.Array, base: int) -> np.ndarray:
@@ -187,8 +192,8 @@ def regions(tree: np.ndarray, sig: pa.Array, base: int) -> np.ndarray:
     return np.cumsum(new)
 
 
-def walked(rows: DataFrame, base: int, reach: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of neighbours in the orders, and (a, null) for signatures whose walk ended at `reach`.
+def walked(rows: DataFrame, base: int, reach: int, percent: int, whole: bool = True) -> DataFrame:
+    """Pairs (a, b) of neighbours in the orders, and (a, null) with _tree and _sig for signatures whose walk ended at `reach`.
 
     rows: as orders() makes them. Where a range partition ends, the last rows and the first of the
     next one meet in a second step, over these rows alone.
@@ -196,15 +201,13 @@ def walked(rows: DataFrame, base: int, reach: int, percent: int) -> DataFrame:
     kind = rows.schema["_id"].dataType.simpleString()
     margin, most = 4 * reach, 1_000_000
 
-    def pairs(t: pa.Table, fresh: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    def made(t: pa.Table, fresh: int = 0) -> pa.Table:
         t = t.combine_chunks()
         ids, comp = t.column("_id").combine_chunks(), t.column("_comp").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        found = walk(regions(t.column("_tree").to_numpy(), t.column("_sig").combine_chunks(), base), comp, t.column("n_shingles").to_numpy(), reach, percent, fresh)
-        return tuple(ids.take(pa.array(x)) for x in found)
-
-    def made(t: pa.Table, fresh: int = 0) -> pa.Table:
-        a, b, full = pairs(t, fresh)
-        return pa.table([pa.concat_arrays([a, full]), pa.concat_arrays([b, pa.nulls(len(full), b.type)])], ["a", "b"])
+        i, j, full = walk(regions(t.column("_tree").to_numpy(), t.column("_sig").combine_chunks(), base), comp, t.column("n_shingles").to_numpy(), reach, percent, fresh, whole)
+        at = t.take(pa.array(full))
+        none = lambda c: pa.nulls(len(i), t.schema.field(c).type)
+        return pa.table([pa.chunked_array([none(c), *at.column(c).chunks]) for c in ("_tree", "_sig")] + [pa.chunked_array([ids.take(pa.array(i)), *at.column("_id").chunks]), pa.chunked_array([ids.take(pa.array(j)), pa.nulls(len(full), ids.type)])], ["_tree", "_sig", "a", "b"])
 
     plain = ["_tree", "_sig", "_id", "_comp", "n_shingles"]
 
@@ -256,8 +259,8 @@ def walked(rows: DataFrame, base: int, reach: int, percent: int) -> DataFrame:
         fresh = sum(s == 0 for s in t.column("_side").to_pylist())
         return made(t, fresh) if 0 < fresh < len(t) else made(t.slice(0, 0))
 
-    edges = found.filter("_edge IS NOT NULL").select("_edge", "_side", *plain).groupBy("_edge").applyInArrow(over, f"a {kind}, b {kind}")
-    return found.filter("_edge IS NULL").select("a", "b").union(edges)
+    edges = found.filter("_edge IS NOT NULL").select("_edge", "_side", *plain).groupBy("_edge").applyInArrow(over, f"_tree int, _sig binary, a {kind}, b {kind}")
+    return found.filter("_edge IS NULL").select("_tree", "_sig", "a", "b").union(edges)
 
 
 def candidates(walks: DataFrame) -> DataFrame:
@@ -304,7 +307,52 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", trees: int = 24, base: int = 4, depth: int = 7, first_trees: int = 3, reach: int = 24, deep_trees: int = 64, deep_base: int = 8) -> DataFrame:
+def settled(dense: DataFrame, rows: DataFrame, sets: DataFrame, base: int, percent: int, block: int = 2048) -> DataFrame:
+    """Links (a, b) of dense signatures with whatever shares their first `base` values, each by its full set.
+
+    dense: _tree, _sig, a; rows: all signatures, as orders() makes them. A region is dealt out in
+    blocks of about `block` signatures, and its dense ones meet every block, which counts common
+    shingles by its own postings. Of each other component one witness is enough. Nothing is left
+    out: this is the exact way for regions in which walks come to their limit.
+    """
+    lead = F.substring("_sig", 1, 4 * base).alias("_lead")
+    asked = saved(dense.select("_tree", lead, "a").distinct(), "asked")
+    rows = rows.select("_tree", lead, "_id", "_comp").join(asked.select("_tree", "_lead").distinct(), ["_tree", "_lead"], "left_semi")
+    members = saved(rows, "regions")
+    sizes = members.groupBy("_tree", "_lead").agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    whole = sets.select("_id", "n_shingles", "_set")
+    held = members.join(sizes, ["_tree", "_lead"]).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks"))).drop("_blocks").join(whole, "_id")
+    wanted = asked.withColumnRenamed("a", "_id").join(members, ["_tree", "_lead", "_id"]).join(sizes, ["_tree", "_lead"])
+    wanted = wanted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).drop("_blocks").join(whole, "_id")
+    wanted = wanted.select(*[F.col(c).alias(f"q{c}") for c in ("_tree", "_lead", "_block", "_id", "_comp", "n_shingles", "_set")])
+    kind = sets.schema["_id"].dataType.simpleString()
+
+    def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
+        ids, out_a, out_b = held.column("_id").to_pylist(), [], []
+        own = [unpacked(x) for x in held.column("_set").to_pylist()]
+        comps = [i if c is None else c for i, c in zip(ids, held.column("_comp").to_pylist())]
+        sizes = held.column("n_shingles").to_numpy()
+        shingles = np.concatenate(own) if own else np.zeros(0, np.uint64)
+        order = np.argsort(shingles, kind="stable")
+        shingles, doc = shingles[order], np.repeat(np.arange(len(own)), [len(x) for x in own])[order]
+        for me, comp, n, x in zip(*(asked.column(c).to_pylist() for c in ("q_id", "q_comp", "qn_shingles", "q_set"))):
+            x = unpacked(x)
+            lo, hi = np.searchsorted(shingles, x, "left"), np.searchsorted(shingles, x, "right")
+            k = hi - lo
+            both = np.bincount(doc[np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(k.sum())], minlength=len(own))
+            witness = {comps[i]: ids[i] for i in np.flatnonzero(100 * both >= percent * (n + sizes - both)).tolist()}
+            for c, i in witness.items():
+                if c != (me if comp is None else comp):
+                    out_a.append(me)
+                    out_b.append(i)
+        types = held.schema.field("_id").type
+        return pa.table([pa.array(out_a, types), pa.array(out_b, types)], ["a", "b"])
+
+    keys = ["_tree", "_lead", "_block"]
+    return wanted.groupBy(*[f"q{k}" for k in keys]).cogroup(held.groupBy(*keys)).applyInArrow(meet, f"a {kind}, b {kind}")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", trees: int = 24, base: int = 4, depth: int = 7, first_trees: int = 3, reach: int = 8, deep_trees: int = 64, deep_base: int = 8) -> DataFrame:
     """Groups of near-duplicate documents: id, n_shingles, component_id, kept.
 
     A document's set is its distinct runs of `width` words (with fewer words, the whole sequence as
@@ -315,7 +363,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     identifier are linked like one document: the union of their links. An empty table gives no rows.
 
     A pair at 80 % shares 4 of 4 values in one of 24 trees with probability 0.999997, and at 85 %
-    with 0.9999999.
+    with 0.9999999. Where regions are dense the deeper forest decides: 8 of 8 values in one of 64 trees
+    (0.99999 at 80 %). There is no limit on partners: walks that reach theirs hand the region on.
     """
     rows = saved(shingled(docs, width, trees * base, id_col, text_col), "shingles")
     sets = rows.filter("_key IS NOT NULL AND _id IS NOT NULL")
@@ -334,21 +383,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         return verified(likely(candidates(walks), by, percent), sets, percent)
 
     alone = reps.withColumn("_comp", F.lit(None).cast(reps.schema["_id"].dataType))
-    links = saved(agreed(walked(orders(alone, range(0, first_trees), base, depth), base, 1, percent), reps).union(again), "links")
+    links = saved(agreed(walked(orders(alone, range(0, first_trees), base, depth), base, 1, percent, False), reps).union(again), "links")
     walks = walked(orders(known(reps, links), range(trees), base, depth), base, reach, percent)
     links = saved(links.union(agreed(walks, reps)), "links")
-    dense = saved(walks.filter("b IS NULL").select(F.col("a").alias("_id")).distinct(), "dense")
+    dense = saved(walks.filter("b IS NULL").select("_tree", "_sig", "a"), "dense")
     if not dense.isEmpty():
-        # a dense region: all that share a dense signature's first values in some order
-        lead = orders(alone, range(trees), base, base).select("_tree", "_sig", "_id")
-        shared = lead.join(dense, "_id", "left_semi").select("_tree", "_sig").distinct()
-        inside = lead.join(shared, ["_tree", "_sig"], "left_semi").select("_id").distinct()
-        wanted = saved(chosen.join(inside, "_id", "left_semi"), "inside")
-        deep = saved(deeper(some_of(sets, wanted, ["_id", "_key"]), deep_trees * deep_base), "deep")
-        walks = walked(orders(known(deep, links), range(deep_trees), deep_base, deep_base + 4), deep_base, reach, percent)
+        # all that share a dense signature's first values in some order go through a deeper forest
+        lead = F.substring("_sig", 1, 4 * base).alias("_lead")
+        near = orders(alone, range(trees), base, base).select("_tree", lead, "_id").join(dense.select("_tree", lead).distinct(), ["_tree", "_lead"], "left_semi")
+        inside = saved(chosen.join(near.select("_id").distinct(), "_id", "left_semi"), "inside")
+        own = saved(some_of(sets, inside, ["_id", "_key"]).dropDuplicates(["_id", "_key"]).select("_id", "n_shingles", "_set"), "inside-sets")
+        deep = saved(deeper(own, deep_trees * deep_base, 2), "deep")
+        rows = orders(known(deep, links), range(deep_trees), deep_base, deep_base + 4)
+        walks = walked(rows, deep_base, reach, percent)
         links = saved(links.union(agreed(walks, deep)), "links")
+        dense = saved(walks.filter("b IS NULL").select("_tree", "_sig", "a"), "dense")
+        if not dense.isEmpty():
+            # and what is dense there too is settled exactly
+            rows = orders(known(deep, links), range(deep_trees), deep_base, deep_base)
+            links = saved(links.union(settled(dense, rows, own, deep_base, percent)), "links")
     comp = components(links)
     out = member.join(comp.select(F.col("node").alias("_rep"), "component"), "_rep", "left")
     # a representative is its group's smallest identifier, so a component's smallest is the smallest of all
-    own = F.coalesce("component", "_rep", "_id")
+    own = F.when(F.col("_id").isNotNull(), F.coalesce("component", "_rep", "_id"))
     return out.select(F.col("_id").alias(id_col), "n_shingles", own.alias("component_id"), F.col("_id").eqNullSafe(own).alias("kept"))
