@@ -1,6 +1,7 @@
 """Every registered telemetry query against its SQL in DuckDB."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -20,7 +21,11 @@ def duck():
 
 def norm(f: pd.DataFrame) -> list[tuple]:
     f = f[sorted(f.columns)]
-    text = lambda v: "-" if v is None or v is pd.NaT or v != v else repr(round(float(v), 6)) if isinstance(v, float) else str(v)
+    def text(v):
+        if pd.isna(v):
+            return "-"
+        return f"{float(v):.6f}" if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)) else str(v)
+
     return sorted(tuple(map(text, row)) for row in f.astype(object).itertuples(index=False))
 
 
