@@ -5,9 +5,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from wattfleet.functions import quality, scalars
-from wattfleet.operators import history, joins
+from wattfleet.operators import history, joins, sequences
 from wattfleet.plans.registry import ORDER, channel, events, query, table
-from wattfleet.sources import ingest, sinks
+from wattfleet.sources import ingest, ls01, sinks
 from wattfleet.streaming import streams
 
 
@@ -185,8 +185,8 @@ def scratch(spark) -> str:
 @query("""
     SELECT event_id, CAST(ts AS DATE)::VARCHAR AS date, value, 'readings' AS kind FROM events UNION ALL
     SELECT event_id, NULL, value, 'rejected' FROM events WHERE event_type = 'error' UNION ALL
-    SELECT row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1, NULL, NULL, 'errors' FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 30 UNION ALL
-    SELECT event_id, NULL, round(value, 1), 'buffer' FROM events WHERE event_type = 'signup'""")
+    SELECT row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) - 1, NULL, NULL, 'errors' FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) <= 30 UNION ALL
+    SELECT event_id, NULL, round(value, 1), 'buffer' FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type = 'signup') WHERE k <= 30""")
 def file_ingest(spark, sf_dir):
     e, path = events(spark, sf_dir).drop("props"), scratch(spark)
     sinks.write_readings(e, f"{path}/readings")
@@ -194,11 +194,13 @@ def file_ingest(spark, sf_dir):
     body = ingest.to_payload(F.col("user_id").cast("string"), F.col("event_id").cast("string"), F.lit("lab"), F.lit("UTC"), F.create_map(F.lit("ct_1"), F.struct(F.lit(1.0).alias("real_power_w"), F.lit(1.0).alias("amps"), F.lit(1.0).alias("pf"))), F.col("value"))
     e.filter("event_type = 'error'").select(F.to_json(F.struct(F.col("event_id").cast("string").alias("device_id"), F.struct(F.col("value").alias("voltage_rms")).alias("readings"))).alias("value")).write.text(f"{path}/rejected")
     rejected = ingest.read_rejected(spark, f"{path}/rejected").select(F.col("device_id").cast("long").alias("event_id"), F.lit(None).cast("string").alias("date"), F.col("readings.voltage_rms").alias("value"), F.lit("rejected").alias("kind"))
-    logs = e.filter("event_type = 'error'").groupBy("user_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(*ORDER))), lambda r: F.struct(r["event_id"].cast("string").alias("m")))).alias("value"))
-    logs.write.partitionBy("user_id").text(f"{path}/errors")
+    # devices share files by bucket; a log has 40 entries of which 30 count, a queue its 30 newest
+    b = e.withColumn("bucket", F.col("user_id") % 16)
+    logs = sequences.first_n(b.filter("event_type = 'error'"), "bucket", ORDER, 40).groupBy("bucket").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(*ORDER))), lambda r: F.struct(r["event_id"].cast("string").alias("m")))).alias("value"))
+    logs.write.partitionBy("bucket").text(f"{path}/errors")
     errors = ingest.read_error_logs(spark, f"{path}/errors").select(F.col("position").cast("long").alias("event_id"), F.lit(None).cast("string").alias("date"), F.lit(None).cast("double").alias("value"), F.lit("errors").alias("kind"))
-    snaps = e.filter("event_type = 'signup'").groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list(body), ","), F.lit("]")).alias("value"))
-    snaps.write.partitionBy("user_id").text(f"{path}/buffer")
+    snaps = sequences.keep_latest(b.filter("event_type = 'signup'"), "bucket", ORDER, 30).groupBy("bucket").agg(F.concat(F.lit("["), F.array_join(F.collect_list(body), ","), F.lit("]")).alias("value"))
+    snaps.write.partitionBy("bucket").text(f"{path}/buffer")
     buffer = ingest.read_buffer_snapshots(spark, f"{path}/buffer").select(F.col("timestamp").cast("long").alias("event_id"), F.lit(None).cast("string").alias("date"), F.col("readings.voltage_rms").alias("value"), F.lit("buffer").alias("kind"))
     out = readings.unionByName(rejected).unionByName(errors).unionByName(buffer)
     sinks.publish_snapshot(out, f"{path}/all")
@@ -237,3 +239,27 @@ def dedupe_stream(spark, sf_dir):
     e = event_stream(spark, sf_dir).select("user_id", "ts", "value", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     s = streams.dedupe_stream(e, ["user_id", "ts", "value"], "ts", "1 hour").drop("copy")
     return _stream(spark, sf_dir, s, f"dedupe_{uuid.uuid4().hex}", "append").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _little_endian(c, size: int):
+    """A number as hexadecimal text, lowest byte first."""
+    h = F.lpad(F.hex(c), 2 * size, "0")
+    return F.concat(*[F.substring(h, 2 * size - 1 - 2 * i, 2) for i in range(size)])
+
+
+@query("""
+    WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, floor(epoch(min(ts) OVER (PARTITION BY user_id)))::BIGINT AS start FROM events)
+    SELECT user_id::VARCHAR AS device_id, seq, c.channel::INTEGER AS channel, start + seq AS at, CASE WHEN c.channel = 1 THEN trunc(CAST(0.0123 * value + 0.13 AS FLOAT) * CAST(1000 AS FLOAT))::INTEGER / 1000.0 ELSE 0.0 END AS amps, 'estimated' AS ts_quality
+    FROM n, (VALUES (1), (2), (3), (4), (5), (6)) c(channel) WHERE seq < 40000""")
+def ls01_decode(spark, sf_dir):
+    """Each user's readings as the bytes of an offline file (raw blocks of ten), decoded again."""
+    e = sequences.first_n(events(spark, sf_dir), "user_id", ORDER, 40_000)
+    e = e.withColumns({"ma": _little_endian(scalars.to_milliamps(scalars.amps("value")).bitwiseAND(F.lit(0xFFFF)), 2), "start": F.unix_seconds(F.col("ts").cast("timestamp"))})
+    blocks = sequences.pack_blocks(e, "user_id", ORDER, ["ma", "start"])
+    body = F.array_join(F.transform("rows", lambda r: F.concat(r["ma"], F.lit("0000" * 5))), "")
+    blocks = blocks.select("user_id", "block", F.concat(_little_endian(F.col("n_rows") * 12 + 0x8000, 2), body).alias("hex"), F.array_min(F.transform("rows", lambda r: r["start"])).alias("start"))
+    files = blocks.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "hex"))), lambda r: r["hex"]), "").alias("hex"), F.min("start").alias("start"))
+    header = F.concat(F.lit("4C533031"), F.rpad(F.hex(F.encode(F.col("user_id").cast("string"), "UTF-8")), 64, "0"), _little_endian(F.col("start"), 4))
+    files = files.select(F.col("user_id").cast("string").alias("path"), F.unhex(F.concat(header, "hex")).alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+    rows = ls01.offline_readings(ls01.decode(quality.gate_offline_files(files)))
+    return rows.select("device_id", "seq", F.col("channel").cast("int").alias("channel"), F.unix_seconds("ts").alias("at"), "amps", "ts_quality")
