@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from wattfleet.llm.bpe import byte_alphabet
+
 CACHED = 500_000
 MARK = "<|endoftext|>"
 _MARKS = b".,;:!?"
@@ -31,10 +34,18 @@ class WordEncoder:
         if self.mark is None or self.own.encode("a  b\n c", add_special_tokens=False).ids != [i for w in "abc" for i in self.own.encode(w, add_special_tokens=False).ids]:
             raise ValueError("a vocabulary that drops white space and has an end-of-text token is needed")
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "HI"[self.kind.itemsize // 4]
+        self.alphabet = byte_alphabet()
+        # letters that normalisation and pre-tokens leave as they are: words of these go straight to the merges
+        letters = [c for c in map(chr, range(0x61, 0x250)) if c.isalpha() and c == c.lower()]
+        self.letters = frozenset(c for c in letters if self.merged(f"a{c}b{c}") == self.tokenizer.encode(f"a{c}b{c}", add_special_tokens=False).ids)
         self.table: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
 
+    def merged(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
+
     def learn(self, words: list[bytes]) -> None:
         """Puts words into the table, by way of their cores: a word in lower case without sentence marks at its end."""
         split, new = [], {}
@@ -55,7 +66,13 @@ class WordEncoder:
             for part in (core, end):
                 if part and part not in self.cores:
                     new[part] = None
-        plain = list(new)
+        plain, merge = [], self.tokenizer.model.tokenize
+        for w in new:
+            low = w.decode().lower()
+            if self.letters.issuperset(low):
+                self.cores[w] = array(self.code, [t.id for t in merge(low.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+            else:
+                plain.append(w)
         for k in range(0, len(plain), 1000):
             some = plain[k : k + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast([MARK.join([w.decode() for w in some])], add_special_tokens=False)[0].ids, np.int64)
