@@ -166,3 +166,9 @@ def test_streams_equal_batches(spark, tmp_path):
     closed = events.agg(F.date_trunc("day", F.max("ts") - F.expr("INTERVAL 1 HOUR"))).first()[0]
     want = streams.live_totals(events, "ts", "1 hour", "1 day", "user_id", "value").filter(F.col("window_start") < closed)
     assert sorted((str(r.window_start), r.user_id, r.n) for r in got.collect()) == sorted((str(r.window_start), r.user_id, r.n) for r in want.collect())
+
+
+def test_best_offer_of_one_catalogue(spark):
+    checks = spark.createDataFrame([(1, "1.0"), (2, "2.10"), (3, "3.0")], "id int, v string")
+    releases = spark.createDataFrame([("2.9",), ("2.10",), ("1.5",)], "r string")
+    assert sorted((r.id, r.offered) for r in joins.best_offer(checks, releases, "v", "r", []).collect()) == [(1, "2.10")]

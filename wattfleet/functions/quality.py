@@ -106,8 +106,8 @@ def fill_config(df: DataFrame) -> DataFrame:
 def dead_letter(df: DataFrame, key: str, order: str, text: str, cap: int = 50_000) -> DataFrame:
     """The rows that a log with a size cap takes: those before which it hadn't reached the cap; each takes its bytes and a line end of two.
 
-    A hot key is one log: its running size needs its rows in order, so it is computed over
-    narrow rows (key, order, length); lengths come before texts in the shuffle.
+    The running size needs a key's rows in order. Where the caller doesn't select the text, Spark
+    shuffles only its length.
     """
     from pyspark.sql import Window
 

@@ -52,8 +52,11 @@ def best_offer(checks: DataFrame, releases: DataFrame, current: str, version: st
     Releases are first reduced to one row per line (keys), since only the greatest can be best: the
     join has one release per check, whatever the length of the catalogue.
     """
-    best = releases.groupBy(*keys).agg(F.max_by(version, semver(version)).alias("_best")) if keys else releases.agg(F.max_by(version, semver(version)).alias("_best"))
-    joined = checks.join(best, keys) if keys else checks.crossJoin(F.broadcast(best))
+    on = keys or ["_line"]
+    if not keys:  # one line for all
+        checks, releases = checks.withColumn("_line", F.lit(1)), releases.withColumn("_line", F.lit(1))
+    best = releases.groupBy(*on).agg(F.max_by(version, semver(version)).alias("_best"))
+    joined = checks.join(best, on).drop("_line")
     return joined.filter(semver("_best") > semver(current)).withColumnRenamed("_best", "offered")
 
 
