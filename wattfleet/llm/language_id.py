@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-CACHED = 400_000
+CACHED = 250_000
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Ranges of code points by script; what lies in none counts as "other".
 SCRIPTS = [

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from wattfleet.llm.common import saved
 from wattfleet.llm.components import components
 
-CACHED = 500_000
+CACHED = 200_000
 #: Identifiers that are broadcast at most, some 16 bytes each; beyond it they are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
