@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from wattfleet.llm.bpe import byte_alphabet
 
-CACHED = 500_000
+CACHED = 400_000
 MARK = "<|endoftext|>"
 _MARKS = b".,;:!?"
 
@@ -49,7 +49,7 @@ class WordEncoder:
     def learn(self, words: list[bytes]) -> None:
         """Puts words into the table, by way of their cores: a word in lower case without sentence marks at its end."""
         split, new = [], {}
-        if len(self.cores) > CACHED:
+        if len(self.cores) > CACHED // 2:
             self.cores.clear()
         for w in words:
             if b"<|" in w:
