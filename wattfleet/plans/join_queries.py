@@ -182,31 +182,47 @@ def scratch(spark) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
-@query("""
-    SELECT event_id, CAST(ts AS DATE)::VARCHAR AS date, value, 'readings' AS kind FROM events UNION ALL
-    SELECT event_id, NULL, value, 'rejected' FROM events WHERE event_type = 'error' UNION ALL
-    SELECT row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) - 1, NULL, NULL, 'errors' FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) <= 30 UNION ALL
-    SELECT event_id, NULL, round(value, 1), 'buffer' FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type = 'signup') WHERE k <= 30""")
-def file_ingest(spark, sf_dir):
+def _file_ingest(spark, sf_dir, owner):
+    """Files of every kind written and read again; owner is what an error log or a saved queue belongs to."""
     e, path = events(spark, sf_dir).drop("props"), scratch(spark)
     sinks.write_readings(e, f"{path}/readings")
     readings = ingest.read_samples(spark, f"{path}/readings").select("event_id", F.col("date").cast("string").alias("date"), "value", F.lit("readings").alias("kind"))
     body = ingest.to_payload(F.col("user_id").cast("string"), F.col("event_id").cast("string"), F.lit("lab"), F.lit("UTC"), F.create_map(F.lit("ct_1"), F.struct(F.lit(1.0).alias("real_power_w"), F.lit(1.0).alias("amps"), F.lit(1.0).alias("pf"))), F.col("value"))
     e.filter("event_type = 'error'").select(F.to_json(F.struct(F.col("event_id").cast("string").alias("device_id"), F.struct(F.col("value").alias("voltage_rms")).alias("readings"))).alias("value")).write.text(f"{path}/rejected")
     rejected = ingest.read_rejected(spark, f"{path}/rejected").select(F.col("device_id").cast("long").alias("event_id"), F.lit(None).cast("string").alias("date"), F.col("readings.voltage_rms").alias("value"), F.lit("rejected").alias("kind"))
-    # devices share files by bucket; a log has 40 entries of which 30 count, a queue its 30 newest
-    b = e.withColumn("bucket", F.col("user_id") % 16)
-    logs = sequences.first_n(b.filter("event_type = 'error'"), "bucket", ORDER, 40).groupBy("bucket").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(*ORDER))), lambda r: F.struct(r["event_id"].cast("string").alias("m")))).alias("value"))
-    logs.write.partitionBy("bucket").text(f"{path}/errors")
+    # a log has 40 entries of which 30 count, a queue its 30 newest
+    b = e.withColumn("owner", owner)
+    logs = sequences.first_n(b.filter("event_type = 'error'"), "owner", ORDER, 40).groupBy("owner").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(*ORDER))), lambda r: F.struct(r["event_id"].cast("string").alias("m")))).alias("value"))
+    logs.write.partitionBy("owner").text(f"{path}/errors")
     errors = ingest.read_error_logs(spark, f"{path}/errors").select(F.col("position").cast("long").alias("event_id"), F.lit(None).cast("string").alias("date"), F.lit(None).cast("double").alias("value"), F.lit("errors").alias("kind"))
-    snaps = sequences.keep_latest(b.filter("event_type = 'signup'"), "bucket", ORDER, 30).groupBy("bucket").agg(F.concat(F.lit("["), F.array_join(F.collect_list(body), ","), F.lit("]")).alias("value"))
-    snaps.write.partitionBy("bucket").text(f"{path}/buffer")
+    snaps = sequences.keep_latest(b.filter("event_type = 'signup'"), "owner", ORDER, 30).groupBy("owner").agg(F.concat(F.lit("["), F.array_join(F.collect_list(body), ","), F.lit("]")).alias("value"))
+    snaps.write.partitionBy("owner").text(f"{path}/buffer")
     buffer = ingest.read_buffer_snapshots(spark, f"{path}/buffer").select(F.col("timestamp").cast("long").alias("event_id"), F.lit(None).cast("string").alias("date"), F.col("readings.voltage_rms").alias("value"), F.lit("buffer").alias("kind"))
     out = readings.unionByName(rejected).unionByName(errors).unionByName(buffer)
     sinks.publish_snapshot(out, f"{path}/all")
     return spark.read.parquet(f"{path}/all")
 
 
+@query("""
+    SELECT event_id, CAST(ts AS DATE)::VARCHAR AS date, value, 'readings' AS kind FROM events UNION ALL
+    SELECT event_id, NULL, value, 'rejected' FROM events WHERE event_type = 'error' UNION ALL
+    SELECT row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) - 1, NULL, NULL, 'errors' FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) <= 30 UNION ALL
+    SELECT event_id, NULL, round(value, 1), 'buffer' FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type = 'signup') WHERE k <= 30""")
+def file_ingest(spark, sf_dir):
+    """Devices share logs and queues by bucket: the limit of 30 holds for all devices of one together (file_ingest_by_device has none of that)."""
+    return _file_ingest(spark, sf_dir, F.col("user_id") % 16)
+
+
+@query("""
+    SELECT event_id, CAST(ts AS DATE)::VARCHAR AS date, value, 'readings' AS kind FROM events UNION ALL
+    SELECT event_id, NULL, value, 'rejected' FROM events WHERE event_type = 'error' UNION ALL
+    SELECT row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1, NULL, NULL, 'errors' FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 30 UNION ALL
+    SELECT event_id, NULL, round(value, 1), 'buffer' FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type = 'signup') WHERE k <= 30""")
+def file_ingest_by_device(spark, sf_dir):
+    """One error log and one saved queue per device, so that the limit of 30 holds for a device."""
+    return _file_ingest(spark, sf_dir, F.col("user_id"))
+
+
 @query("SELECT user_id, CAST(ts AS DATE)::VARCHAR AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def late_restatement(spark, sf_dir):
     e = events(spark, sf_dir).withColumns({"day": F.to_date("ts").cast("string"), "late": F.col("event_id") % 10 == 9})
