@@ -2,7 +2,8 @@
 
 1. language ID: documents whose language can't be told go
 2. exact dedup: of texts equal but for the case of A-Z, the one with the largest identifier stays
-3. MinHash near-dedup: of documents linked by 80 % of their five-word shingles, the one with the smallest identifier stays
+3. MinHash near-dedup: of documents linked by 80 % of their five-word shingles, the one with the smallest identifier stays;
+   then passages of 50 words or more that occurred before are cut out of the text, wherever they lie
 4. substring dedup: lines of 25 words or more that occurred before are cut out of the text
 5. packing: what is left, as sequences of 2048 tokens, mixed by source
 
@@ -20,6 +21,7 @@ from wattfleet.llm.common import saved, table
 from wattfleet.llm.exact_dedup import drop_exact_duplicates
 from wattfleet.llm.minhash_forest import near_duplicates
 from wattfleet.llm.packing import pack
+from wattfleet.llm.passages import dedup_passages
 from wattfleet.llm.substring_dedup import dedup_substrings
 
 #: A document stays if one language has at least this share of its letters.
@@ -38,9 +40,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; null identifiers are in no group."""
+    """One document of each group stays; null identifiers are in no group. Repeated passages of the rest go, and n_chars follows the text."""
     gone = near_duplicates(docs, width=5, percent=80).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    left = saved(docs.join(gone, "doc_id", "left_anti").select(docs.columns), "near-left")
+    out = dedup_passages(left, min_words=50, spans_col=None, count_col=None)
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from wattfleet.llm.exact_dedup import exact_duplicates
 from wattfleet.llm.line_chunks import dedup_chunks
 from wattfleet.llm.minhash_forest import near_duplicates
 from wattfleet.llm.packing import pack
+from wattfleet.llm.passages import dedup_passages
 from wattfleet.llm.substring_dedup import dedup_substrings
 from wattfleet.llm.token_counts import document_token_counts
 from wattfleet.llm.url_filter import host_rule, judge_urls, pattern_rule
@@ -36,6 +37,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=25)
 
 
+def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens", "complete")
 
@@ -74,6 +79,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_substring_dedup": op2_substring_dedup,
+    "op2_passage_dedup": op2_passage_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_language_id": op4_language_id,
     "op5_minhash": op5_minhash,
