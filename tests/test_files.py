@@ -19,3 +19,15 @@ def test_limits_hold_per_device(spark, tmp_path):
     out = plans.QUERIES["file_ingest_by_device"](spark, write_events(spark, tmp_path, rows))
     n = {r["kind"]: r["n"] for r in out.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     assert n == {"readings": 1600, "rejected": 200, "errors": 200, "buffer": 1200}
+
+
+def test_offline_files_go_on(spark, tmp_path):
+    # one user with more readings than a file holds; the next file starts at its own first reading
+    at = datetime.datetime(2026, 1, 1)
+    rows = [(i, 7, at + datetime.timedelta(seconds=2 * i), "click", float(i % 500), "{}") for i in range(40_025)]
+    out = plans.QUERIES["ls01_decode"](spark, write_events(spark, tmp_path, rows)).filter("channel = 1")
+    assert out.agg(F.count("*"), F.count_distinct("seq"), F.min("seq"), F.max("seq")).first()[:] == (40_025, 40_025, 0, 40_024)
+    epoch = int(at.replace(tzinfo=datetime.timezone.utc).timestamp())
+    got = {r.seq: (r["at"], r.amps) for r in out.filter("seq IN (39999, 40000, 40024)").collect()}
+    assert {s: a for s, (a, _) in got.items()} == {39_999: epoch + 39_999, 40_000: epoch + 80_000, 40_024: epoch + 80_024}
+    assert all(abs(amps - (0.0123 * (s % 500) + 0.13)) < 0.0011 for s, (_, amps) in got.items())

@@ -257,6 +257,10 @@ def dedupe_stream(spark, sf_dir):
     return _stream(spark, sf_dir, s, f"dedupe_{uuid.uuid4().hex}", "append").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+#: Readings of one offline file; a multiple of a block's ten, and below the 550,000 bytes at which a device stops.
+FILE_READINGS = 40_000
+
+
 def _little_endian(c, size: int):
     """A number as hexadecimal text, lowest byte first."""
     h = F.lpad(F.hex(c), 2 * size, "0")
@@ -268,14 +272,14 @@ def _little_endian(c, size: int):
     SELECT user_id::VARCHAR AS device_id, seq, c.channel::INTEGER AS channel, start + seq AS at, CASE WHEN c.channel = 1 THEN trunc(CAST(0.0123 * value + 0.13 AS FLOAT) * CAST(1000 AS FLOAT))::INTEGER / 1000.0 ELSE 0.0 END AS amps, 'estimated' AS ts_quality
     FROM n, (VALUES (1), (2), (3), (4), (5), (6)) c(channel) WHERE seq < 40000""")
 def ls01_decode(spark, sf_dir):
-    """Each user's readings as the bytes of an offline file (raw blocks of ten), decoded again."""
-    e = sequences.first_n(events(spark, sf_dir), "user_id", ORDER, 40_000)
-    e = e.withColumns({"ma": _little_endian(scalars.to_milliamps(scalars.amps("value")).bitwiseAND(F.lit(0xFFFF)), 2), "start": F.unix_seconds(F.col("ts").cast("timestamp"))})
+    """Each user's readings as the bytes of offline files (raw blocks of ten), decoded again; a file is followed by a new one, with a start of its own, after every FILE_READINGS."""
+    e = events(spark, sf_dir).withColumns({"ma": _little_endian(scalars.to_milliamps(scalars.amps("value")).bitwiseAND(F.lit(0xFFFF)), 2), "start": F.unix_seconds(F.col("ts").cast("timestamp"))})
     blocks = sequences.pack_blocks(e, "user_id", ORDER, ["ma", "start"])
     body = F.array_join(F.transform("rows", lambda r: F.concat(r["ma"], F.lit("0000" * 5))), "")
-    blocks = blocks.select("user_id", "block", F.concat(_little_endian(F.col("n_rows") * 12 + 0x8000, 2), body).alias("hex"), F.array_min(F.transform("rows", lambda r: r["start"])).alias("start"))
-    files = blocks.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "hex"))), lambda r: r["hex"]), "").alias("hex"), F.min("start").alias("start"))
+    blocks = blocks.select("user_id", F.floor(F.col("block") * 10 / FILE_READINGS).alias("file"), "block", F.concat(_little_endian(F.col("n_rows") * 12 + 0x8000, 2), body).alias("hex"), F.array_min(F.transform("rows", lambda r: r["start"])).alias("start"))
+    files = blocks.groupBy("user_id", "file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "hex"))), lambda r: r["hex"]), "").alias("hex"), F.min("start").alias("start"))
     header = F.concat(F.lit("4C533031"), F.rpad(F.hex(F.encode(F.col("user_id").cast("string"), "UTF-8")), 64, "0"), _little_endian(F.col("start"), 4))
-    files = files.select(F.col("user_id").cast("string").alias("path"), F.unhex(F.concat(header, "hex")).alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+    files = files.select(F.concat_ws("/", "user_id", "file").alias("path"), F.unhex(F.concat(header, "hex")).alias("content")).withColumn("length", F.octet_length("content").cast("long"))
     rows = ls01.offline_readings(ls01.decode(quality.gate_offline_files(files)))
-    return rows.select("device_id", "seq", F.col("channel").cast("int").alias("channel"), F.unix_seconds("ts").alias("at"), "amps", "ts_quality")
+    before = F.substring_index("path", "/", -1).cast("long") * FILE_READINGS
+    return rows.select("device_id", (F.col("seq") + before).alias("seq"), F.col("channel").cast("int").alias("channel"), F.unix_seconds("ts").alias("at"), "amps", "ts_quality")
