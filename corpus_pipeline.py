@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
 1. language ID: documents whose language can't be told go
-2. exact dedup: of texts equal but for the case of A-Z, the one with the largest identifier stays
+2. exact dedup: of texts equal but for the case of A-Z, the one with the largest identifier stays, and of rows equal in both only one
 3. MinHash near-dedup: of documents linked by 80 % of their five-word shingles, the one with the smallest identifier stays;
    then passages of 50 words or more that occurred before are cut out of the text, wherever they lie
 4. substring dedup: lines of 25 words or more that occurred before are cut out of the text
@@ -36,7 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_exact_duplicates(docs, keep="largest")
+    return drop_exact_duplicates(docs, keep="largest", one_row=True)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

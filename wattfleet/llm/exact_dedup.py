@@ -65,8 +65,23 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """docs without the rows that exact_duplicates() doesn't keep; all columns stay as they are."""
-    lost = exact_duplicates(docs, id_col, text_col, keep).filter("NOT kept").select(F.col(id_col).alias("_lost_id"), F.col("text_sha256").alias("_lost_sha")).distinct()
-    norm = ascii_lower(F.coalesce(docs[text_col], F.lit("")))
-    return docs.join(lost, docs[id_col].eqNullSafe(F.col("_lost_id")) & (F.sha2(norm, 256) == F.col("_lost_sha")), "left_anti")
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", one_row: bool = False) -> DataFrame:
+    """docs without the rows that exact_duplicates() doesn't keep; all columns stay as they are.
+
+    With one_row exactly one row of every group of equal texts stays: of rows that repeat the
+    identifier kept, or have all none, the one whose values have the smallest hash. Only groups
+    with such ties are shuffled for that, with partial aggregation.
+    """
+    verdict = exact_duplicates(docs, id_col, text_col, keep)
+    lost = verdict.filter("NOT kept").select(F.col(id_col).alias("_lost_id"), F.col("text_sha256").alias("_lost_sha")).distinct()
+    sha = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256)
+    left = docs.join(lost, docs[id_col].eqNullSafe(F.col("_lost_id")) & (sha == F.col("_lost_sha")), "left_anti")
+    if not one_row:
+        return left
+    ties = saved(verdict.filter("kept AND group_size > 1").groupBy(F.col("text_sha256").alias("_tie_sha")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_tie_sha"), "exact-ties")
+    if ties.isEmpty():
+        return left
+    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() != "map"])
+    tied = left.join(ties, sha == F.col("_tie_sha")).select("_tie_sha", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_x"), order.alias("_order"))
+    one = tied.groupBy("_tie_sha").agg(F.min_by("_x", "_order").alias("_x")).select("_x.*")
+    return left.join(ties, sha == F.col("_tie_sha"), "left_anti").union(one)
