@@ -112,3 +112,16 @@ def test_scan_abandons_but_keeps_the_near(seed):
     live, _ = scan([x[:, i : i + 16] for i in range(0, 64, 16)], q, bound, 20, 16, 2.1)
     assert len(set(np.flatnonzero(d <= bound)) & set(live)) >= 19 and len(live) < 60
     assert Space(x[:50].astype(float), 12.0, 3).d == 65
+
+def test_query_blocks_and_registered_recall(spark):
+    from wattfleet.llm.queries import op6_ann
+
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = e.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    want, got = brute(ids, x, 20, 20), sorted(tuple(r) for r in op6_ann(spark, "/root/testdata/sf0.1").collect())
+    assert sorted(tuple(r) for r in search(e, k=20, every=20, block=7).collect()) == got
+    found = {(q, v) for q, _, v, _ in got}
+    recall = sum((q, v) in found for q, _, v, _ in want) / len(want)
+    print(f"recall of op6_ann on sf0.1: {recall:.4f} of {len(want)} neighbours")
+    assert recall >= 0.95

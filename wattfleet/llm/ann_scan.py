@@ -99,7 +99,7 @@ def scan(blocks: list[np.ndarray], q: np.ndarray, bound: float, k: int, width: i
     return alive[ok], partial[ok]
 
 
-def search(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", max_sample: int = 20_000, list_size: int = 512, max_lists: int = 16_384, recall: float = 0.97, chunk: int = 4096, width: int = 16, error: float = 2.1) -> DataFrame:
+def search(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", max_sample: int = 20_000, list_size: int = 512, max_lists: int = 16_384, recall: float = 0.97, chunk: int = 4096, width: int = 16, error: float = 2.1, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose identifier is divisible by `every`.
 
     Candidates are all rows but the query's own; nearness is the inner product in double precision
@@ -111,7 +111,8 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id"
 
     Bounds: centres are fitted on the max_sample rows with the smallest hash of their identifier,
     at most max_lists of them. Each query probes as many nearest lists as hold the share `recall` of
-    the sample's own neighbours, and more until they hold enough candidates.
+    the sample's own neighbours, and more until they hold enough candidates. A task compares some
+    `chunk` vectors of a list with some `block` queries at a time; no neighbour is lost by either.
     """
     spark = rows.sparkSession
     out_schema = f"query_id {rows.schema[id_col].dataType.simpleString()}, rank int, vec_id {rows.schema[id_col].dataType.simpleString()}, score double"
@@ -160,7 +161,8 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id"
     queries = asked.join(distinct.select("_v", "_rep"), "_v").select("_id", "_rep")
     queries = saved(queries, "queries")
     probed = distinct.select("_rep", "_v").join(queries.select("_rep").distinct(), "_rep", "left_semi").mapInArrow(probe, f"_q {kind}, _qv array<double>, _nth int, _list int, _piece int")
-    probed = saved(probed, "probes")
+    blocks = max(1, -(-queries.select("_rep").distinct().count() // block))
+    probed = saved(probed.withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(blocks)).cast("int")), "probes")
     pieces = F.element_at(F.array(*[F.lit(int(x)) for x in parts]), F.col("_list") + 1) if len(parts) <= 64 else None
     if pieces is None:
         table = spark.createDataFrame([(i, int(n)) for i, n in enumerate(parts)], "_list int, _parts int")
@@ -168,6 +170,8 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id"
     else:
         pieced = index.withColumn("_piece", F.pmod(F.xxhash64("_rep"), pieces).cast("int"))
 
+    pieced = pieced.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
     def found(some: DataFrame) -> DataFrame:
         def run(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
             q, at, score = [], [], []
@@ -186,7 +190,7 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id"
                     score += s[best].tolist()
             return pa.table([asked.column("_q").combine_chunks().take(pa.array(q, pa.int64())), held.column("_rep").combine_chunks().take(pa.array(at, pa.int64())), pa.array(score, pa.float64())], ["_q", "_rep", "_score"])
 
-        return some.groupBy("_list", "_piece").cogroup(pieced.groupBy("_list", "_piece")).applyInArrow(run, f"_q {kind}, _rep {kind}, _score double")
+        return some.groupBy("_list", "_piece", "_block").cogroup(pieced.groupBy("_list", "_piece", "_block")).applyInArrow(run, f"_q {kind}, _rep {kind}, _score double")
 
     near = saved(found(probed.filter("_nth = 0").withColumn("_bound", F.lit(None).cast("double"))), "near")
     best = Window.partitionBy("_q").orderBy(F.desc("_score"), "_rep")
