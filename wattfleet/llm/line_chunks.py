@@ -1,6 +1,6 @@
 """Line dedup by content-defined chunks of lines, in DataFrame operations only.
 
-Every line is hashed, a rolling hash (cyclic polynomial) runs over windows of line hashes, and a
+Every line is hashed, a rolling hash (of shifted line hashes, or with `whole` a weighted sum) runs over windows of line hashes, and a
 chunk ends where the rolling hash falls into one residue class. So a line put in or taken out
 moves only the boundaries near it. Chunks of two or more lines that occur earlier in the corpus
 are removed, after their bytes have been compared with those of the occurrence that stays.
@@ -19,6 +19,17 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 14), 16, 10).cast("long")
 
 
+def whole_boundaries(hashes: Column, n: Column, divisor: int) -> Column:
+    """Like boundaries(), but all three lines count in the rolling hash (odd weights), and no chunk has one line unless the text has no more."""
+
+    def candidate(i: Column) -> Column:
+        back = lambda k: F.coalesce(F.get(hashes, i - k), F.lit(0).cast("long"))
+        return F.pmod(back(0) + 3 * back(1) + 7 * back(2), F.lit(divisor)) == 0
+
+    # a line next to another candidate, the first and the last but one would leave a line by itself
+    return F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | (candidate(i) & ~candidate(i - 1) & (i > 0) & (i != n - 2)))
+
+
 def boundaries(hashes: Column, n: Column, divisor: int) -> Column:
     """Numbers of the lines that end a chunk: each whose rolling hash over three lines is 0 modulo divisor, and the last."""
 
@@ -30,19 +41,19 @@ def boundaries(hashes: Column, n: Column, divisor: int) -> Column:
     return F.filter(F.sequence(F.lit(0), n - 1), ends)
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, divisor: int) -> DataFrame:
+def chunked(docs: DataFrame, id_col: str, text_col: str, divisor: int, whole: bool = False) -> DataFrame:
     """One row per chunk: _id, _row (hash of the text), _chunk, _first, _lines, _text, _key (digest of the chunk's bytes)."""
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_row"), F.split(F.col(text_col), "\n").alias("_all")).filter("_all IS NOT NULL")
-    rows = rows.withColumn("_hashes", F.transform("_all", line_hash)).withColumn("_ends", boundaries(F.col("_hashes"), F.size("_all"), divisor))
+    rows = rows.withColumn("_hashes", F.transform("_all", line_hash)).withColumn("_ends", (whole_boundaries if whole else boundaries)(F.col("_hashes"), F.size("_all"), divisor))
     rows = rows.select("_id", "_row", "_all", F.posexplode(F.arrays_zip(F.concat(F.array(F.lit(-1)), F.slice("_ends", F.lit(1), F.size("_ends") - 1)).alias("before"), F.col("_ends").alias("end"))).alias("_chunk", "_at"))
     first, lines = F.col("_at.before") + 1, F.col("_at.end") - F.col("_at.before")
     rows = rows.select("_id", "_row", "_chunk", first.alias("_first"), lines.alias("_lines"), F.array_join(F.slice("_all", first + 1, lines), "\n").alias("_text"))
     return rows.withColumn("_key", F.substring(F.unhex(F.sha2("_text", 256)), 1, 16))
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 4) -> DataFrame:
+def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 4, whole: bool = False) -> DataFrame:
     """Every chunk to remove: _id, _row, _chunk, _first (line number from 0), _lines, _keep_id."""
-    chunks = chunked(docs, id_col, text_col, divisor).filter("_lines > 1")
+    chunks = chunked(docs, id_col, text_col, divisor, whole).filter("_lines > 1")
     here = F.struct("_id", "_chunk", "_row")
     first = chunks.groupBy("_key").agg(F.min(here).alias("_keep"), F.count("*").alias("_count")).filter("_count > 1").drop("_count")
     found = saved(chunks.join(first, "_key").withColumn("_stays", here.eqNullSafe(F.col("_keep"))), "chunks")
@@ -50,16 +61,16 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.filter("NOT _stays").join(stay, "_key").filter("_text = _kept_text").select("_id", "_row", "_chunk", "_first", "_lines", F.col("_keep._id").alias("_keep_id"))
 
 
-def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 4, count_col: str | None = "removed_lines") -> DataFrame:
+def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 4, count_col: str | None = "removed_lines", whole: bool = False) -> DataFrame:
     """docs with repeated chunks of lines removed from the text, all other columns as they are.
 
     Of equal chunks the first stays, by (identifier, chunk number); a null identifier counts as
-    smallest. Chunks of one line are never removed. Lines are compared byte by byte, and those that
+    smallest. Chunks of one line are never removed; with whole, only a text of one line is one. Lines are compared byte by byte, and those that
     stay are joined by line feeds again. removed_lines counts what went. A null text stays null, an
     empty one is one empty line. Rows equal in identifier and text count as one document. A column
     of docs that has the added name is replaced. An empty table gives no rows.
     """
-    gone = repeated_chunks(docs, id_col, text_col, divisor).distinct()
+    gone = repeated_chunks(docs, id_col, text_col, divisor, whole).distinct()
     gone = gone.groupBy(F.col("_id").alias("__lc_id"), F.col("_row").alias("__lc_row")).agg(F.collect_list(F.sequence(F.col("_first"), F.col("_first") + F.col("_lines") - 1)).alias("__lc_gone"))
     gone = gone.withColumn("__lc_gone", F.flatten("__lc_gone"))
     joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("__lc_id")) & (F.xxhash64(docs[text_col]) == F.col("__lc_row")), "left")

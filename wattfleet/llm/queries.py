@@ -64,6 +64,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash": op5_minhash,
     "op6_ann": op6_ann,
     "op7_line_dedup": op7_line_dedup,
+    "op7_line_dedup_whole": op7_line_dedup_whole,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
@@ -129,6 +134,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT cut), '') AS text,
                coalesce(sum(lines) FILTER (cut), 0)::BIGINT AS removed_lines
         FROM d GROUP BY doc_id""",
+    "op7_line_dedup_whole": """
+        WITH l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS no, len(lines) AS n
+                   FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)),
+        h AS (SELECT *, ('0x' || substr(md5(line), 1, 14))::BIGINT AS h FROM l),
+        r AS (SELECT *, (h + 3 * coalesce(lag(h, 1) OVER w, 0) + 7 * coalesce(lag(h, 2) OVER w, 0)) % 4 = 0 AS fits FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
+        e AS (SELECT *, (no = n - 1 OR (fits AND NOT coalesce(lag(fits) OVER w, false) AND no > 0 AND no <> n - 2))::INT AS ends FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
+        g AS (SELECT *, sum(ends) OVER (PARTITION BY doc_id ORDER BY no) - ends AS chunk FROM e),
+        c AS (SELECT doc_id, chunk, count(*) AS lines, string_agg(line, chr(10) ORDER BY no) AS body FROM g GROUP BY doc_id, chunk),
+        d AS (SELECT *, lines > 1 AND row_number() OVER (PARTITION BY lines > 1, body ORDER BY doc_id, chunk) > 1 AS cut FROM c)
+        SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT cut), '') AS text,
+               coalesce(sum(lines) FILTER (cut), 0)::BIGINT AS removed_lines
+        FROM d GROUP BY doc_id""",
     "op8_exact_dedup": f"""
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
