@@ -98,7 +98,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_c
         for batch in batches:
             queues = batch.column(2).to_pylist()
             for k in range(0, batch.num_rows, 1000):
-                ids = [x + end for x in enc.encode(batch.column(1)[k : k + 1000].to_pylist())]
+                ids = [x + end for x in enc.encode(batch.column(1)[k : k + 1000])]
                 starts = []
                 for q, x in zip(queues[k : k + 1000], ids):
                     starts.append(so_far.get(q, 0))

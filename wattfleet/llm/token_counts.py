@@ -68,7 +68,7 @@ def write_streams(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
 
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
-                ids, texts = batch.column(0)[k : k + 1000], batch.column(1)[k : k + 1000].to_pylist()
+                ids, texts = batch.column(0)[k : k + 1000], batch.column(1)[k : k + 1000]
                 kind = ids.type
                 data = rest + b"".join([x + end for x in enc.encode(texts)])
                 full = [data[i : i + size] for i in range(0, len(data) - size + 1, size)]

@@ -1,27 +1,58 @@
-"""Ids of texts by a tokenizer that drops white space, word by word with a bounded table."""
+"""Ids of texts by a tokenizer that drops white space, pre-token by pre-token with a bounded table."""
 
 from __future__ import annotations
 
-from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from wattfleet.llm.bpe import byte_alphabet
+from wattfleet.llm.fragments import FragmentTable, blocks, flat
 
-CACHED = 400_000
 MARK = "<|endoftext|>"
-_MARKS = b".,;:!?"
+#: Bytes of text that are cut into fragments at a time.
+BLOCK = 1 << 20
+# Classes of bytes: white space, letters (all beyond ASCII that isn't odd), digits, all else.
+_SPACE, _LETTER, _DIGIT, _ELSE = range(4)
+CLASSES = np.full(256, _ELSE, np.uint8)
+CLASSES[[9, 10, 11, 12, 13, 32]] = _SPACE
+CLASSES[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 256)]] = _LETTER
+CLASSES[ord("0") : ord("9") + 1] = _DIGIT
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+#: Bytes whose words are left to the tokenizer as a whole: apostrophes, and lead bytes of all but U+00C0-U+00FF (of these, so are the signs U+00D7 and U+00F7).
+ODD = np.zeros(256, bool)
+ODD[[0x27, 0xC2, *range(0xC4, 256)]] = True
+
+
+def words_and_oddity(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By byte: its class, whether a text starts there, whether a word does, and whether its word is odd."""
+    kind = CLASSES[data]
+    begins = np.zeros(len(data), bool)
+    begins[at[:-1][at[:-1] < len(data)]] = True
+    space = kind == _SPACE
+    start = ~space
+    start[1:] &= space[:-1] | begins[1:]
+    odd = ODD[data]
+    lead = data[:-1] == 0xC3
+    odd[1:] |= lead & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|")) & ~begins[1:]
+    word = np.cumsum(start)
+    bad = np.zeros(int(word[-1]) + 1 if len(word) else 1, bool)
+    bad[word[odd]] = True
+    return kind, begins, start, bad[word] & ~space
 
 
 class WordEncoder:
-    """Encodes as Tokenizer.encode(text, add_special_tokens=False), but each distinct word once.
+    """Encodes as Tokenizer.encode(text, add_special_tokens=False), but each distinct pre-token once.
 
-    Right for vocabularies whose pre-tokens never hold white space: then a text's ids are those of
-    its white-space separated words, one after another. Words not seen before are encoded many at
-    a time with a special token between them. special=False takes the texts of special tokens as
-    ordinary text.
+    Right for vocabularies that lower-case, drop white space and cut texts into runs of letters,
+    single digits and runs of all else. Words of ASCII and of the letters from U+00C0 to U+00FF are
+    cut so; words with other characters, apostrophes (contractions) or special tokens are encoded
+    whole. Many of those are encoded at a time, with a special token between them. special=False
+    takes the texts of special tokens as ordinary text.
     """
 
     def __init__(self, path: str, special: bool = True):
@@ -31,90 +62,82 @@ class WordEncoder:
             t.no_padding()
         self.own.encode_special_tokens = not special
         self.mark = self.tokenizer.token_to_id(MARK)
-        if self.mark is None or self.own.encode("a  b\n c", add_special_tokens=False).ids != [i for w in "abc" for i in self.own.encode(w, add_special_tokens=False).ids]:
-            raise ValueError("a vocabulary that drops white space and has an end-of-text token is needed")
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.code = "HI"[self.kind.itemsize // 4]
         self.alphabet = byte_alphabet()
-        # letters that normalisation and pre-tokens leave as they are: words of these go straight to the merges
-        letters = [c for c in map(chr, range(0x61, 0x250)) if c.isalpha() and c == c.lower()]
-        self.letters = frozenset(c for c in letters if self.merged(f"a{c}b{c}") == self.tokenizer.encode(f"a{c}b{c}", add_special_tokens=False).ids)
-        self.table: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-
-    def merged(self, word: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
-
-    def learn(self, words: list[bytes]) -> None:
-        """Puts words into the table, by way of their cores: a word in lower case without sentence marks at its end."""
-        split, new = [], {}
-        if len(self.cores) > CACHED // 2:
-            self.cores.clear()
-        for w in words:
-            if b"<|" in w:
-                self.table[w] = np.array(self.own.encode(w.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-                continue
-            core = w.lower() if w.isascii() else w
-            end = b""
-            if core[-1] in _MARKS:
-                bare = core.rstrip(_MARKS)
-                # a letter or digit and a mark never share a pre-token
-                if bare and (bare[-1:].isalnum() or bare[-1] > 127 and bare.decode()[-1].isalpha()):
-                    core, end = bare, core[len(bare) :]
-            split.append((w, core, end))
-            for part in (core, end):
-                if part and part not in self.cores:
-                    new[part] = None
-        plain, merge = [], self.tokenizer.model.tokenize
-        for w in new:
-            low = w.decode().lower()
-            if self.letters.issuperset(low):
-                self.cores[w] = array(self.code, [t.id for t in merge(low.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+        probe = "A  b\n c ÀÖàö12 x$$%.y ß.Ö9é"
+        plain = [i for w in probe.lower().split() for p in _pre_tokens(w) for i in self.merged(p.encode())]
+        if self.mark is None or self.own.encode(probe, add_special_tokens=False).ids != plain:
+            raise ValueError("a vocabulary that lower-cases, drops white space, cuts at letters and digits and has an end-of-text token is needed")
+        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.table = FragmentTable(self.learn, self.kind)
+
+    def merged(self, fragment: bytes) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(fragment.decode("latin-1").translate(self.alphabet))]
+
+    def learn(self, fragments: list[bytes]) -> list[list[int]]:
+        out: list = [None] * len(fragments)
+        whole = []
+        for i, f in enumerate(fragments):
+            if f.isalnum():  # of ASCII alone
+                out[i] = self.merged(f)
+            elif b"<|" in f:
+                out[i] = self.own.encode(f.decode(), add_special_tokens=False).ids
+            elif f.translate(None, _FAST) or b"\xc3\x97" in f or b"\xc3\xb7" in f:
+                whole.append(i)
             else:
-                plain.append(w)
-        for k in range(0, len(plain), 1000):
-            some = plain[k : k + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([MARK.join([w.decode() for w in some])], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.flatnonzero(ids == self.mark).tolist()
-            data, at, size = ids.astype(self.kind).tobytes(), 0, self.kind.itemsize
-            for w, end in zip(some, [*ends, len(ids)], strict=True):
-                self.cores[w] = data[at * size : end * size]
-                at = end + 1
-        for w, core, end in split:
-            self.table[w] = self.cores[core] + self.cores[end] if end else self.cores[core]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian bytes of `kind`; null counts as empty."""
-        out: list[bytes] = []
-        some: list[list[bytes]] = []
-        size = 0
-
-        def flush() -> None:
-            found = [list(map(self.table.get, ws)) for ws in some]
-            lost = {w for ws, ids in zip(some, found) if None in ids for w, x in zip(ws, ids) if x is None}
-            if lost:
-                if len(self.table) + len(lost) > CACHED:  # what was used of late stays for one more round
-                    self.older, self.table = self.table, {}
-                older = self.older
-                self.table |= {w: older[w] for w in lost & older.keys()}
-                self.learn([w for w in lost if w not in self.table])
-                get = self.table.get
-                for ws, ids in zip(some, found):
-                    if None in ids:
-                        ids[:] = [x if x is not None else get(w) for w, x in zip(ws, ids)]
-            out.extend(map(b"".join, found))
-            some.clear()
-
-        for text in texts:
-            some.append((text or "").encode().split())
-            size += len(some[-1])
-            if size > 200_000:
-                flush()
-                size = 0
-        flush()
+                out[i] = self.merged(f)
+        for k in range(0, len(whole), 1000):
+            some = whole[k : k + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([MARK.join([fragments[i].decode() for i in some])], add_special_tokens=False)[0].ids, np.int64)
+            for i, x in zip(some, np.split(ids, np.flatnonzero(ids == self.mark)), strict=True):
+                out[i] = x[x != self.mark].tolist()
         return out
 
+    def cut(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes to encode, lower-cased but for odd words, and where fragments start and end in them."""
+        kind, begins, start, odd = words_and_oddity(data, at)
+        low = LOWER[data]
+        accent = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
+        low[1:] += (accent * 32).astype(np.uint8)
+        low = np.where(odd, data, low)
+        first = start.copy()
+        first[1:] |= ~odd[1:] & (kind[1:] != _SPACE) & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+        last = kind != _SPACE
+        last[:-1] &= first[1:] | (kind[1:] == _SPACE)
+        return low, np.flatnonzero(first), np.flatnonzero(last) + 1
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids one after another, and how many each has; null counts as empty."""
+        data, at = flat(texts)
+        ids, counts = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        for a, b in blocks(at, BLOCK):
+            own = at[a : b + 1] - at[a]
+            low, starts, ends = self.cut(data[at[a] : at[b]], own)
+            found, n = self.table.encode(low, starts, ends)
+            sums = np.concatenate([[0], np.cumsum(n)])
+            ids.append(found)
+            counts.append(np.diff(sums[np.searchsorted(starts, own)]))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """For each text its ids as little-endian bytes of `kind`; null counts as empty."""
+        ids, counts = self.encode_flat(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        data, size = ids.tobytes(), self.kind.itemsize
+        ends = (np.cumsum(counts) * size).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _pre_tokens(word: str) -> list[str]:
+    """A probe's word in pre-tokens."""
+    out: list[str] = []
+    for c in word:
+        same = out and not c.isdigit() and not out[-1][-1].isdigit() and c.isalpha() == out[-1][-1].isalpha()
+        out = [*out[:-1], out[-1] + c] if same else [*out, c]
+    return out
+
+
+#: Bytes of fragments that go straight to the merges, but for the signs U+00D7 and U+00F7.
+_FAST = bytes(b for b in range(256) if not ODD[b])
+
 
 @lru_cache(maxsize=2)
 def word_encoder(path: str, special: bool = True) -> WordEncoder:
