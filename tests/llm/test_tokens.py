@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,6 +73,31 @@ def test_word_encoder():
             assert np.frombuffer(ids, e.kind).tolist() == ids_of(t, text), text[:20]
 
 
+MIXED = st.text(alphabet=st.sampled_from("aB zZ'.,!<|>9 0\n\t éÉ×÷ñß日Σ́-_$%\xa0"), max_size=40)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(MIXED, min_size=1, max_size=30))
+def test_batches_of_any_texts(texts):
+    """Texts that lie side by side in one buffer don't touch each other."""
+    assert [np.frombuffer(x, words.kind).tolist() for x in words.encode(texts)] == [ids_of(plain_words, t) for t in texts]
+    ids, counts = codec(BYTES).encode_flat(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [ids_of(plain_bytes, t) for t in texts]
+
+
+words, plain_words = WordEncoder(WORDS), plain(WORDS)
+
+
+def test_full_table_starts_anew(monkeypatch):
+    from wattfleet.llm import fragments
+
+    monkeypatch.setattr(fragments, "CACHED", 50)
+    e = WordEncoder(WORDS)
+    for k in range(40):
+        texts = [" ".join(f"word{i}x" for i in range(k * 7, k * 7 + 9)), None, "same again"]
+        assert [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)] == [ids_of(plain_words, t) for t in texts]
+
+
 def whole(rows, docs, end=1):
     """Every document's pieces join to its ids; sequences have no gaps and all but the last are full."""
     t = plain(WORDS)
