@@ -1,11 +1,32 @@
 """Passage dedup against a comparison of all runs of 50 words in plain Python."""
 
 import random
+import re
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from wattfleet.llm.passages import WORD, dedup_passages, spans_of
+from wattfleet.llm.passages import dedup_passages
+
+WORD = re.compile("[0-9A-Za-z\u00c0-\u1fff\u2070-\u2fff\u3040-\U0010ffff]+")
+LOWER = str.maketrans(ascii_uppercase, ascii_lowercase)
+
+
+def spans_of(text, gone):
+    words = [m.span() for m in WORD.finditer(text)]
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    spans = []
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        start, end = words[a][0], words[b - 1][1]
+        follows = words[b][0] if b < len(words) else len(text)
+        while end < follows and text[end] != "\n":
+            end += 1
+        if end < len(text) and text[end] == "\n" and (start == 0 or text[start - 1] == "\n"):
+            end += 1
+        spans.append((start, end))
+    return spans
 
 
 def brute(rows, n=50):
@@ -13,7 +34,7 @@ def brute(rows, n=50):
     cuts = {}
     places = []
     for has, d, t in {(d is not None, d or 0, t) for d, t in rows if t is not None}:
-        w = [x.lower() for x in WORD.findall(t)]
+        w = [x.translate(LOWER) for x in WORD.findall(t)]
         cuts[has, d, t] = np.zeros(len(w), bool)
         places += [(has, d, p, t, tuple(w[p : p + n])) for p in range(len(w) - n + 1)]
     for has, d, p, t, run in sorted(places, key=lambda x: x[:3]):
@@ -55,3 +76,26 @@ def test_passages(spark):
     assert passage in left[None] and all(p.split()[35].lower() not in left[d].lower().split() for d in (1, 2, 3) for p in [passage])
     assert left[6] == short and left[7].endswith(short) and left[14] == "" and edge not in left[5]
     assert dedup_passages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("min_words", [5, 8])
+def test_any_overlaps(spark, seed, min_words):
+    """Short passages over a small alphabet: copies of copies, cut and glued, repeats within a text, other scripts and signs."""
+    r = random.Random(seed)
+    signs = [" ", " ", " ", ", ", "\n", ".\n", " \u2014 ", "\u00a0", "\u3000", "\n\n"]
+    say = lambda n: [r.choice(["a", "B", "b", "\u00e9", "x1", "\u65e5", "\u0416", "w%d" % r.randrange(30)]) for _ in range(n)]
+    pool = [say(r.randrange(4, 40)) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        w = []
+        for _ in range(r.randrange(1, 5)):
+            p = r.choice(pool)
+            a = r.randrange(len(p))
+            w += p[a : a + r.randrange(1, 40)] if r.random() < 0.7 else say(r.randrange(20))
+        pool.append(w)
+        rows.append((i if r.random() < 0.95 else None, "".join(x + r.choice(signs) for x in w)))
+    want = brute(rows, min_words)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("whole", F.col("text")).repartition(4)
+    for x in dedup_passages(df, min_words=min_words).collect():
+        assert (x.text, x.removed_spans) == want[x.doc_id is not None, x.doc_id or 0, x.whole], (x.doc_id, x.whole)

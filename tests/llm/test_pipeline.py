@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from wattfleet.llm.substring_dedup import normalised
+from test_passages import brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,18 +82,26 @@ def test_near(steps):
 
 
 def test_substrings(steps):
-    seen, want = set(), {}
-    for d, t in sorted(texts(steps[3]), key=lambda x: (x[0] is not None, x[0] or 0)):
-        lines = []
-        for line in t.split("\n"):
-            n = normalised(line)
-            if len(n.split()) >= 25 and n in seen:
-                continue
-            seen.add(n)
-            lines.append(line)
-        want[d] = "\n".join(lines)
-    assert dict(texts(steps[4])) == want
-    assert steps[4].filter(F.length("text") != F.col("n_chars")).count() == 0
+    want = brute(texts(steps[3]))
+    got = texts(steps[4])
+    before = {(d, len(t)): t for d, t in texts(steps[3])}
+    assert sorted((d is not None, d or 0, t) for d, t in got) == sorted((has, d, text) for (has, d, t), (text, _) in want.items())
+    assert len(before) == len(got) and steps[4].filter(F.length("text") != F.col("n_chars")).count() == 0
+
+
+def test_passage_glued_into_lines(spark):
+    """A passage of 55 words inside longer lines stays in its first document alone; documents without it stay as they are."""
+    say = lambda seed, n: " ".join(f"w{seed}x{i}" for i in range(n))
+    rows = [(i, f"{say(i, 20)} {say(99, 55)} {say(i + 10, 30)}\n{say(i + 20, 60)}", "en", "s", 1) for i in range(4)] + [(9, say(50, 90), "en", "s", 2)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
+    got = dict(texts(cp.STAGES[3][1](spark, docs, SF)))
+    assert got == {0: rows[0][1], 9: rows[4][1]} | {i: f"{say(i, 20)} {say(i + 10, 30)}\n{say(i + 20, 60)}" for i in (1, 2, 3)}
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_empty_tables(spark, k):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    assert cp.STAGES[k][1](spark, docs, SF).count() == 0
 
 
 def test_packing_and_run(spark, steps):

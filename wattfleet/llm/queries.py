@@ -16,7 +16,7 @@ from wattfleet.llm.exact_dedup import exact_duplicates
 from wattfleet.llm.line_chunks import dedup_chunks
 from wattfleet.llm.minhash_forest import near_duplicates
 from wattfleet.llm.packing import pack
-from wattfleet.llm.passages import dedup_passages
+from wattfleet.llm.passages import WORD_RANGES, dedup_passages
 from wattfleet.llm.substring_dedup import dedup_substrings
 from wattfleet.llm.token_counts import document_token_counts
 from wattfleet.llm.url_filter import host_rule, judge_urls, pattern_rule
@@ -82,8 +82,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
-    "op2_substring_dedup": op2_substring_dedup,
     "op2_passage_dedup": op2_passage_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_language_id": op4_language_id,
     "op5_minhash": op5_minhash,
@@ -112,6 +112,24 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(b.best.verdict, CASE WHEN f.fits IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
                CASE WHEN b.best IS NULL THEN f.fits END AS pattern
         FROM f LEFT JOIN b USING (page_id)""",
+    "op2_passage_dedup": f"""
+        WITH d AS (SELECT doc_id, text, length(regexp_extract(text, '^[^{WORD_RANGES}]*')) AS lead, regexp_extract_all(text, '[{WORD_RANGES}]+[^{WORD_RANGES}]*') AS pieces FROM documents),
+        p AS (SELECT doc_id, text, lead, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM d),
+        w AS (SELECT *, regexp_extract(piece, '^[{WORD_RANGES}]+') AS word, (lead + sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece))::BIGINT AS place FROM p),
+        t AS (SELECT doc_id, list(translate(word, '{UPPER}', '{LOWER}') ORDER BY i) AS ws FROM w GROUP BY doc_id),
+        r AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM t)),
+        f AS (SELECT doc_id, i, first_value(doc_id) OVER o AS first_id, first_value(i) OVER o AS first_i, row_number() OVER o AS nth FROM r WINDOW o AS (PARTITION BY h ORDER BY doc_id, i)),
+        c AS (SELECT doc_id, CASE WHEN first_id = doc_id THEN greatest(i, first_i + 50) ELSE i END AS a, i + 50 AS b FROM f WHERE nth > 1),
+        e AS (SELECT doc_id, i, sum(x) AS x FROM (SELECT doc_id, a AS i, 1 AS x FROM c UNION ALL SELECT doc_id, b, -1 FROM c) GROUP BY doc_id, i),
+        g AS (SELECT w.*, sum(coalesce(e.x, 0)) OVER (PARTITION BY doc_id ORDER BY i) > 0 AS gone FROM w LEFT JOIN e USING (doc_id, i)),
+        k AS (SELECT *, count(*) FILTER (NOT gone) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g),
+        m AS (SELECT doc_id, any_value(text) AS text, min(place) AS a, max(place) AS z, arg_max(word, i) AS word, arg_max(piece, i) AS piece FROM k WHERE gone GROUP BY doc_id, island),
+        n AS (SELECT *, strpos(substr(piece, length(word) + 1), chr(10)) AS feed FROM m),
+        s AS (SELECT doc_id, text, a, CASE WHEN feed = 0 THEN z + length(piece) ELSE z + length(word) + feed - (NOT (a = 0 OR substr(text, a, 1) = chr(10)))::INT END AS b FROM n),
+        q AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM s),
+        z AS (SELECT doc_id, string_agg(substr(text, before + 1, a - before), '' ORDER BY a) || substr(any_value(text), max(b) + 1) AS text, string_agg(a || '-' || b, ',' ORDER BY a) AS spans, count(*) AS n FROM q GROUP BY doc_id)
+        SELECT documents.doc_id, CASE WHEN z.n IS NULL THEN documents.text ELSE z.text END AS text, coalesce(z.spans, '') AS removed_spans, coalesce(z.n, 0) AS n_removed
+        FROM documents LEFT JOIN z USING (doc_id)""",
     "op2_substring_dedup": r"""
         WITH l AS (SELECT doc_id, n, unnest(lines) AS line, generate_subscripts(lines, 1) AS no
                    FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n, string_split(text, chr(10)) AS lines FROM documents)),
