@@ -2,9 +2,8 @@
 
 1. language ID: documents whose language can't be told go
 2. exact dedup: of texts equal but for the case of A-Z, the one with the largest identifier stays, and of rows equal in both only one
-3. MinHash near-dedup: of documents linked by 80 % of their five-word shingles, the one with the smallest identifier stays;
-   then passages of 50 words or more that occurred before are cut out of the text, wherever they lie
-4. substring dedup: lines of 25 words or more that occurred before are cut out of the text
+3. MinHash near-dedup: of documents linked by 80 % of their five-word shingles, the one with the smallest identifier stays
+4. substring dedup: passages of 50 words or more that occurred before are cut out of the text, wherever they lie in its lines
 5. packing: what is left, as sequences of 2048 tokens, mixed by source
 
 All but the last return the columns of documents.
@@ -22,38 +21,37 @@ from wattfleet.llm.exact_dedup import drop_exact_duplicates
 from wattfleet.llm.minhash_forest import near_duplicates
 from wattfleet.llm.packing import pack
 from wattfleet.llm.passages import dedup_passages
-from wattfleet.llm.substring_dedup import dedup_substrings
 
 #: A document stays if one language has at least this share of its letters.
 LEAST_SHARE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a known language; a missing lang is filled in. Texts that are null or without letters go."""
+    """Keeps documents in a known language; a missing lang is filled in. Texts that are null or without letters go; repeated rows share their verdict, an empty table stays empty."""
     names = docs.columns
     out = language_id.predict(docs, language_id.fit(docs)).filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
     return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(names)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text stays, a null text counting as empty; of equal rows one. An empty table stays empty."""
     return drop_exact_duplicates(docs, keep="largest", one_row=True)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; null identifiers are in no group. Repeated passages of the rest go, and n_chars follows the text."""
-    gone = near_duplicates(docs, width=5, percent=80).filter("NOT kept").select("doc_id").distinct()
-    left = saved(docs.join(gone, "doc_id", "left_anti").select(docs.columns), "near-left")
-    out = dedup_passages(left, min_words=50, spans_col=None, count_col=None)
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """One document of each group stays; null identifiers are in no group. Texts without words are linked with nothing and stay. Empty tables stay empty."""
+    gone = near_duplicates(docs, width=5, percent=80).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti").select(docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and n_chars follows the text."""
-    out = dedup_substrings(docs, min_words=25, spans_col=None, count_col=None)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Repeated passages go, and n_chars follows the text. A text that is one repeated passage becomes empty; null texts and empty tables stay as they are."""
+    out = dedup_passages(docs, min_words=50, spans_col=None, count_col=None)
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as pieces of sequences; a null or empty text is its end id alone, repeated rows are documents of their own, an empty table gives no rows."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), sequence=2048, end_id=1)
 
 
