@@ -3,13 +3,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from test_pipeline import groups, shingles
 from wattfleet.llm.ann_scan import Space, scan, search
 from wattfleet.llm.components import components
-from wattfleet.llm.minhash_forest import near_duplicates, packed, unpacked, walk
+from wattfleet.llm.minhash_forest import near_duplicates, sets_of, walk, walked
 
 
 def same(df, rows, width, percent):
@@ -34,7 +35,7 @@ def test_dense_region(spark):
             w[rng.randrange(60)] = f"x{rng.randrange(40)}"
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    same(near_duplicates(df, width=2, reach=2), rows, 2, 80)
+    same(near_duplicates(df, width=2, reach=2, block=50), rows, 2, 80)
 
 
 def test_near_odd_rows(spark):
@@ -50,14 +51,53 @@ def test_near_odd_rows(spark):
 def test_walk_passes_own_component():
     region = np.array([1] * 9 + [2] * 2)
     comp = np.array([5, 5, 5, -1, 5, 5, 7, 7, 5, 5, 5])
-    a, b, full = walk(region, comp, np.ones(11, int), 2, 80)
+    a, b, full, off = walk(region, comp, np.ones(11, int), 2, 80)
     assert set(zip(a.tolist(), b.tolist())) == {(0, 3), (0, 6), (1, 3), (1, 6), (2, 3), (2, 6), (3, 4), (3, 5), (4, 6), (4, 7), (5, 6), (5, 7), (6, 8), (7, 8)}
-    assert set(full.tolist()) == {0, 1, 2, 3}
-
-
-def test_packed_sets():
-    x = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 500, np.uint64))
-    assert (unpacked(packed(x)) == x >> np.uint64(24)).all() and len(unpacked(packed(x[:0]))) == 0
+    assert set(full.tolist()) == {0, 1, 2, 3} and set(off.tolist()) == {9, 10}
+
+
+def test_sets_of_texts():
+    texts = ["a b c", None, "", " A\tb  c ", "b c a", "one", "É é", "x y " * 5000, "a b"]
+    for width in (1, 2, 5):
+        sets = [set(x.tolist()) for x in sets_of(pa.array(texts), width)]
+        want = [shingles(t or "", width) for t in texts]
+        assert [len(x) for x in sets] == [len(x) for x in want]
+        assert all((sets[i] & sets[j] == set()) == (want[i] & want[j] == set()) for i in range(len(texts)) for j in range(len(texts)))
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+@pytest.mark.parametrize("count", [5, 2000])
+def test_walks_over_partition_ends(spark, parts, count):
+    """An outsider behind one region's component: every member meets it or counts as one whose walk didn't end, with partitions empty or full."""
+    rows = [(0, b"aaaabbbb", i, 1, 10) for i in range(1, count + 1)] + [(0, b"aaaabbbc", count + 1, None, 10)]
+    df = spark.createDataFrame(rows, "_tree int, _sig binary, _id long, _comp long, n_shingles long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = walked(df, 1, 2, 80).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    done = {r.a for r in got if r.b == count + 1} | {r.a for r in got if r.b is None}
+    assert done >= set(range(1, count + 1))
+
+
+def test_link_over_many_partitions(spark):
+    """A hot group and single documents that hang on by one link each, in many small partitions."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join([*base, f"own{i % 7}"])) for i in range(300)]
+    for i in range(300, 330):  # near one member of a group, not near the rest
+        w = list(base)
+        for k in rng.sample(range(50), 5):
+            w[k] = f"y{rng.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        same(near_duplicates(df, width=2, reach=2), rows, 2, 80)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_components(spark):
