@@ -29,10 +29,11 @@ def test_phase_slots(spark):
 
 
 def test_stability(spark):
-    rows = [("a", "update"), ("a", "panic"), ("a", "panic"), ("a", "panic"), ("b", "update"), ("b", "sw"), ("c", "panic")]
+    again = [("d", k) for k in ("update", "panic", "panic", "update", "panic", "panic", "sw")]  # an update counts crashes anew
+    rows = [("a", "update"), ("a", "panic"), ("a", "panic"), ("a", "panic"), ("b", "update"), ("b", "sw"), ("c", "panic"), *again]
     df = frame(spark, [(d, i, k) for i, (d, k) in enumerate(rows)], "d string, i long, k string").withColumns({"u": F.col("k") == "update", "c": F.col("k") == "panic"})
     got = [r.verdict for r in sequences.update_stability(df, "d", ["i"], "u", "c").orderBy("i").collect()]
-    assert got == [None, "crash", "crash", "rollback", None, "stable", None]
+    assert got == [None, "crash", "crash", "rollback", None, "stable", None, None, "crash", "crash", None, "crash", "crash", "stable"]
 
 
 def test_outage_grace(spark):

@@ -85,7 +85,7 @@ def quarantine_unsynced(df: DataFrame, ts: str = "timestamp") -> tuple[DataFrame
     return df.filter(~bad), df.filter(bad)
 
 
-def coerce_config(df: DataFrame) -> DataFrame:
+def coerce_config(df: DataFrame, default_url: str = "http://localhost/data") -> DataFrame:
     """What saving a form does to volt, interval, rating and url: values out of range become defaults."""
     url = F.col("url")
     return df.withColumns(
@@ -93,7 +93,7 @@ def coerce_config(df: DataFrame) -> DataFrame:
             "volt": F.when(F.col("volt").between(100, 250), F.col("volt")).otherwise(F.lit(230.0)),
             "interval": F.when(F.col("interval").between(1, 60), F.col("interval")).otherwise(F.lit(1)),
             "rating": F.when(F.col("rating").isin(RATINGS), F.col("rating")).otherwise(F.lit(50)),
-            "url": F.when(url.startswith("http://") | url.startswith("https://"), url).otherwise(F.lit("http://localhost/data")),
+            "url": F.when(url.startswith("http://") | url.startswith("https://"), url).otherwise(F.lit(default_url)),
         }
     )
 
@@ -106,10 +106,12 @@ def fill_config(df: DataFrame) -> DataFrame:
 def dead_letter(df: DataFrame, key: str, order: str, text: str, cap: int = 50_000) -> DataFrame:
     """The rows that a log with a size cap takes: those before which it hadn't reached the cap; each takes its bytes and a line end of two.
 
-    The running size needs a key's rows in order. Where the caller doesn't select the text, Spark
-    shuffles only its length.
+    The running size needs a key's rows in order, but no more than cap / 2 + 1 of them, since each
+    takes two bytes at least; Spark drops the others before the shuffle.
     """
     from pyspark.sql import Window
 
-    before = F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 2).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    first = Window.partitionBy(key).orderBy(order)
+    before = F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 2).over(first.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= cap // 2 + 1).drop("_nth")
     return df.withColumn("bytes_before", F.coalesce(before, F.lit(0)).cast("long")).filter(F.col("bytes_before") < cap)

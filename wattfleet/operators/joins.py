@@ -69,7 +69,11 @@ def missed_slots(df: DataFrame, key: str, day: str) -> DataFrame:
 
 def command_effects(commands: DataFrame, writes: DataFrame, keys: list[str], ts: str, within_s: int) -> DataFrame:
     """Commands with the first write of the same setting that follows within a time; writes: keys, ts, value."""
-    w = writes.select(*keys, F.col(ts).alias("_written"), F.col("value").alias("_value"))
-    late = F.expr(f"_written BETWEEN {ts} AND {ts} + INTERVAL {int(within_s)} SECONDS")
-    hit = commands.join(w, keys).filter(late)
-    return hit.groupBy(*commands.columns).agg(F.min("_written").alias("effect_at"), F.min_by("_value", "_written").alias("effect_value"))
+    write = F.struct(F.col(ts).alias("at"), F.col("value").alias("value"))
+    none = F.lit(None).cast(writes.select(write.alias("w")).schema[0].dataType)
+    both = commands.withColumns({"_write": none, "_side": F.lit(0)}).unionByName(writes.select(*keys, ts, write.alias("_write"), F.lit(1).alias("_side")), allowMissingColumns=True)
+    # from the last to the first, the write seen last is the one that follows; one sort, no pairs
+    back = Window.partitionBy(*keys).orderBy(F.desc(ts), F.desc("_side"), F.desc("_write"))
+    hit = both.withColumn("_next", F.last("_write", ignorenulls=True).over(back)).filter("_side = 0")
+    hit = hit.filter(F.expr(f"_next.at <= {ts} + INTERVAL {int(within_s)} SECONDS"))
+    return hit.select(*commands.columns, F.col("_next.at").alias("effect_at"), F.col("_next.value").alias("effect_value"))

@@ -28,11 +28,16 @@ def rolling_signal(df: DataFrame, key: str, order: list[str], value: str, n: int
     return df.withColumns({"rolling_min": F.least(F.lit(0), F.min(value).over(w)), "rolling_avg": F.when(count > 0, (total - F.pmod(F.abs(total), count) * F.signum(total).cast("long")) / count).cast("long")})
 
 
+def newest(df: DataFrame, key: str, order: list[str], n: int = 30) -> DataFrame:
+    """The n newest rows of each key, with their rank; Spark drops all others before the shuffle."""
+    return df.withColumn("newest", F.row_number().over(ordered(key, order, desc=True))).filter(F.col("newest") <= n)
+
+
 def keep_latest(df: DataFrame, key: str, order: list[str], n: int = 30) -> DataFrame:
-    """The n newest rows of each key, each with how many older ones were displaced."""
-    count = F.count("*").over(Window.partitionBy(key))
-    out = df.withColumns({"newest": F.row_number().over(ordered(key, order, desc=True)), "displaced": F.greatest(count - n, F.lit(0))})
-    return out.filter(F.col("newest") <= n)
+    """The n newest rows of each key, each with how many older ones were displaced; the count has partial sums of its own."""
+    counts = df.groupBy(F.col(key).alias("_key")).agg(F.greatest(F.count("*") - n, F.lit(0)).alias("displaced"))
+    out = newest(df, key, order, n)
+    return out.join(counts, out[key].eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def first_n(df: DataFrame, key: str | list[str], order: list[str], n: int) -> DataFrame:
@@ -52,7 +57,7 @@ def pack_blocks(df: DataFrame, key: str, order: list[str], fields: list[str], n:
 
 def oldest_first(df: DataFrame, key: str, order: list[str], fields: list[str], n: int = 30) -> DataFrame:
     """Replay of each key's n newest rows, oldest first, as one array; n bounds it."""
-    return keep_latest(df, key, order, n).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, *[F.col(f).alias(f"_{f}") for f in fields]))), lambda r: F.struct(*[r[f"_{f}"].alias(f) for f in fields])).alias("rows"))
+    return newest(df, key, order, n).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, *[F.col(f).alias(f"_{f}") for f in fields]))), lambda r: F.struct(*[r[f"_{f}"].alias(f) for f in fields])).alias("rows"))
 
 
 def failure_runs(df: DataFrame, key: str, order: list[str], fail: Column, reset: Column) -> DataFrame:
@@ -152,16 +157,13 @@ def phase_slots(df: DataFrame, key: str, order: list[str], at: str, interval: in
     return fold(df, key, order, [at], lambda: start, step, "slot long, resynced boolean")
 
 
-def update_stability(df: DataFrame, key: str, order: list[str], updated: str, crashed: str, limit: int = 3) -> DataFrame:
-    """Adds verdict to boots: crash, rollback (the limit-th crash since an update), stable (the first clean boot since), or null.
-
-    updated marks rows that are the update itself; all others are boots.
-    """
+def stability_step(limit: int) -> Callable:
+    """The step of update_stability on (fresh, crashes): an update is fresh and starts counting crashes anew."""
 
     def step(state, is_update, is_crash):
         fresh, crashes = state
         if is_update:
-            return (True, crashes), (None,)
+            return (True, 0), (None,)
         if not fresh:
             return state, (None,)
         if not is_crash:
@@ -170,7 +172,15 @@ def update_stability(df: DataFrame, key: str, order: list[str], updated: str, cr
             return (False, 0), ("rollback",)
         return (True, crashes + 1), ("crash",)
 
-    return fold(df, key, order, [updated, crashed], lambda: (False, 0), step, "verdict string")
+    return step
+
+
+def update_stability(df: DataFrame, key: str, order: list[str], updated: str, crashed: str, limit: int = 3) -> DataFrame:
+    """Adds verdict to boots: crash, rollback (the limit-th crash since the last update), stable (the first clean boot since), or null.
+
+    updated marks rows that are the update itself; all others are boots.
+    """
+    return fold(df, key, order, [updated, crashed], lambda: (False, 0), stability_step(limit), "verdict string")
 
 
 def connection_state(df: DataFrame, key: str, order: list[str], at: str, kind: str, grace: int, failures: int = 5) -> DataFrame:

@@ -172,9 +172,11 @@ def calibration_ingest(spark, sf_dir):
 
 
 def scratch(spark) -> str:
-    """A new folder that driver and executors share."""
+    """A new folder that driver and executors share; with a local master one is made if spark.checkpoint.dir is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="spark-")
@@ -233,10 +235,15 @@ def late_restatement(spark, sf_dir):
     return streams.restate(build(e.filter("NOT late")), e, e.filter("late"), "day", build)
 
 
-def _stream(spark, sf_dir, df, sink: str, mode: str):
-    q = df.writeStream.outputMode(mode).format("memory").queryName(sink).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(sink)
+def _stream(spark, df, mode: str):
+    """What a stream has written when all that is there has been read: its appended rows, or its last complete result."""
+    path, out = scratch(spark), df.writeStream.outputMode(mode).trigger(availableNow=True)
+    if mode == "complete":
+        out = out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/rows"))
+    else:
+        out = out.format("parquet").option("path", f"{path}/rows")
+    out.option("checkpointLocation", f"{path}/state").start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")
 
 
 def event_stream(spark, sf_dir):
@@ -247,14 +254,14 @@ def event_stream(spark, sf_dir):
 @query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
 def latest_stream(spark, sf_dir):
     s = streams.latest_by_key(event_stream(spark, sf_dir).select("user_id", *ORDER, "value"), "user_id", ORDER)
-    return _stream(spark, sf_dir, s, f"latest_{uuid.uuid4().hex}", "complete").select("user_id", "event_id", "value")
+    return _stream(spark, s, "complete").select("user_id", "event_id", "value")
 
 
 @query("SELECT DISTINCT user_id, ts, value FROM events")
 def dedupe_stream(spark, sf_dir):
     e = event_stream(spark, sf_dir).select("user_id", "ts", "value", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     s = streams.dedupe_stream(e, ["user_id", "ts", "value"], "ts", "1 hour").drop("copy")
-    return _stream(spark, sf_dir, s, f"dedupe_{uuid.uuid4().hex}", "append").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return _stream(spark, s, "append").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 #: Readings of one offline file; a multiple of a block's ten, and below the 550,000 bytes at which a device stops.

@@ -156,7 +156,7 @@ def phase_slots_6h(spark, sf_dir):
     f AS (SELECT user_id, k, event_id, fresh, crashes, verdict FROM s UNION ALL
         SELECT n.user_id, n.k, n.event_id,
                CASE WHEN n.event_type = 'signup' THEN TRUE WHEN NOT f.fresh THEN FALSE WHEN n.event_type <> 'error' THEN FALSE ELSE f.crashes + 1 < 3 END,
-               CASE WHEN n.event_type = 'signup' OR NOT f.fresh THEN f.crashes WHEN n.event_type <> 'error' OR f.crashes + 1 >= 3 THEN 0 ELSE f.crashes + 1 END,
+               CASE WHEN n.event_type = 'signup' THEN 0 WHEN NOT f.fresh THEN f.crashes WHEN n.event_type <> 'error' OR f.crashes + 1 >= 3 THEN 0 ELSE f.crashes + 1 END,
                CASE WHEN n.event_type = 'signup' OR NOT f.fresh THEN NULL WHEN n.event_type <> 'error' THEN 'stable' WHEN f.crashes + 1 >= 3 THEN 'rollback' ELSE 'crash' END
         FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1)
     SELECT event_id, verdict FROM f WHERE k > 0""")

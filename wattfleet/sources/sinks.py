@@ -9,8 +9,8 @@ from wattfleet.functions.quality import dead_letter
 
 
 def write_readings(df: DataFrame, path: str, ts: str = "ts") -> None:
-    """Appends readings by date; rows of a date are gathered first, so that each has few files."""
-    df.withColumn("date", F.to_date(ts)).repartition("date").write.partitionBy("date").mode("append").parquet(path)
+    """Appends readings by date; rows of a date are gathered first, so that each has few files, but a large one is split over tasks."""
+    df.withColumn("date", F.to_date(ts)).hint("rebalance", "date").write.partitionBy("date").mode("append").parquet(path)
 
 
 def publish_snapshot(df: DataFrame, path: str) -> None:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wattfleet.operators.sequences import stability_step
+
 
 def latest_by_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key, on a batch or (output mode update or complete) on a stream; state is one row per key."""
@@ -81,17 +83,4 @@ def throttle_stream(df: DataFrame, key: str, order: list[str], at: str, gap: int
 
 def stability_stream(df: DataFrame, key: str, order: list[str], updated: str, crashed: str, schema: str, limit: int = 3) -> DataFrame:
     """Streaming update stability: verdict as in sequences.update_stability."""
-
-    def step(state, is_update, is_crash):
-        fresh, crashes = state
-        if is_update:
-            return (True, crashes), (None,)
-        if not fresh:
-            return state, (None,)
-        if not is_crash:
-            return (False, 0), ("stable",)
-        if crashes + 1 >= limit:
-            return (False, 0), ("rollback",)
-        return (True, crashes + 1), ("crash",)
-
-    return fold_stream(df, key, order, [updated, crashed], lambda: (False, 0), step, "fresh boolean, crashes long", "verdict string", schema)
+    return fold_stream(df, key, order, [updated, crashed], lambda: (False, 0), stability_step(limit), "fresh boolean, crashes long", "verdict string", schema)
