@@ -19,7 +19,7 @@ ROWS = [
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame(ROWS, "doc_id long, text string").withColumns({"_id": F.lit("clash"), "kept": F.lit(1), "_row": F.lit(2), "n_removed": F.lit(3)}).repartition(3)
+    return spark.createDataFrame(ROWS, "doc_id long, text string").withColumns({"_id": F.lit("clash"), "kept": F.lit(1), "_lost_id": F.lit(5), "_lost_sha": F.lit("clash"), "_row": F.lit(2), "n_removed": F.lit(3)}).repartition(3)
 
 
 def lower(s):
@@ -44,6 +44,11 @@ def test_exact(odd, keep):
     assert exact_duplicates(odd.limit(0)).count() == 0
 
 
+def test_exact_plan_merges_sorted_runs(odd):
+    plan = exact_duplicates(odd)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") >= 4 and "HashAggregate" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
 def test_exact_hot_group(spark):
     df = spark.range(0, 4000, 1, 37).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
     out = exact_duplicates(df).filter("text_sha256 = '%s'" % hashlib.sha256(b"hot").hexdigest())

@@ -1,8 +1,8 @@
 """Exact dedup by a tree-merge of digest runs, in DataFrame operations only.
 
-Every input partition pre-aggregates its own run of digests. Runs then meet in binomial rounds:
-in round r, the runs of `fan_in` neighbouring nodes merge into one, digest by digest, and each
-merge keeps the identifier that stays and the number of copies. A group of copies, however large,
+Every input partition sorts its digests into a run and merges equal ones. Runs then meet in rounds:
+in round r, the runs of `fan_in` neighbouring nodes merge in order into one, digest by digest, and
+each merge keeps the identifier that stays and the number of copies. A group of copies, however large,
 is one row per run after the first step, so no round has a hot key.
 
 Digests merge only when SHA-256, byte length and a second, independent hash of the normalised
@@ -33,14 +33,15 @@ def merge_runs(rows: DataFrame, runs: int = 256, fan_in: int = 16, keep: str = "
     `runs` is the number of leaves of the merge tree (partitions share a leaf beyond it), so there
     are log(runs) / log(fan_in) rounds whatever the input's size.
     """
-    best = F.max if keep == "largest" else F.min
-    level = rows.select(*KEY, F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), (F.spark_partition_id() % runs).alias("_node"))
+    best, known = (F.max, F.col("_id").isNotNull()) if keep == "largest" else (F.min, F.col("_id").isNull())
+    # a struct, which Spark aggregates in sorted runs: each task sorts its digests and merges equal neighbours
+    level = rows.select(*KEY, F.struct(known.alias("known"), F.col("_id").alias("id")).alias("_keep"), F.lit(1).cast("long").alias("group_size"), (F.spark_partition_id() % runs).alias("_node"))
     nodes = runs
     while nodes > 1:
         nodes = -(-nodes // fan_in)
         level = level.withColumn("_node", F.floor(F.col("_node") / fan_in).cast("int"))
-        level = level.groupBy("_node", *KEY).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    return level.drop("_node")
+        level = level.groupBy("_node", *KEY).agg(best("_keep").alias("_keep"), F.sum("group_size").alias("group_size"))
+    return level.select(*KEY, F.col("_keep.id").alias("keep_id"), "group_size")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
@@ -73,15 +74,15 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     with such ties are shuffled for that, with partial aggregation.
     """
     verdict = exact_duplicates(docs, id_col, text_col, keep)
-    lost = verdict.filter("NOT kept").select(F.col(id_col).alias("_lost_id"), F.col("text_sha256").alias("_lost_sha")).distinct()
+    lost = verdict.filter("NOT kept").select(F.col(id_col).alias("__ed_id"), F.col("text_sha256").alias("__ed_sha")).distinct()
     sha = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256)
-    left = docs.join(lost, docs[id_col].eqNullSafe(F.col("_lost_id")) & (sha == F.col("_lost_sha")), "left_anti")
+    left = docs.join(lost, docs[id_col].eqNullSafe(F.col("__ed_id")) & (sha == F.col("__ed_sha")), "left_anti")
     if not one_row:
         return left
-    ties = saved(verdict.filter("kept AND group_size > 1").groupBy(F.col("text_sha256").alias("_tie_sha")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_tie_sha"), "exact-ties")
+    ties = saved(verdict.filter("kept AND group_size > 1").groupBy(F.col("text_sha256").alias("__ed_tie")).agg(F.count("*").alias("_n")).filter("_n > 1").select("__ed_tie"), "exact-ties")
     if ties.isEmpty():
         return left
     order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() != "map"])
-    tied = left.join(ties, sha == F.col("_tie_sha")).select("_tie_sha", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_x"), order.alias("_order"))
-    one = tied.groupBy("_tie_sha").agg(F.min_by("_x", "_order").alias("_x")).select("_x.*")
-    return left.join(ties, sha == F.col("_tie_sha"), "left_anti").union(one)
+    tied = left.join(ties, sha == F.col("__ed_tie")).select("__ed_tie", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__ed_x"), order.alias("__ed_order"))
+    one = tied.groupBy("__ed_tie").agg(F.min_by("__ed_x", "__ed_order").alias("__ed_x")).select("__ed_x.*")
+    return left.join(ties, sha == F.col("__ed_tie"), "left_anti").union(one)
