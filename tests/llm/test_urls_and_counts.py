@@ -27,15 +27,20 @@ def brute(url):
 
 @pytest.mark.parametrize("max_sent", [1 << 20, 0])
 def test_urls(spark, max_sent):
-    df = spark.createDataFrame([(i if i else None, u) for i, u in enumerate(URLS + URLS[:3])], "page_id long, url string").withColumns({"rule": F.lit(1), "_token": F.lit("clash")})
+    df = spark.createDataFrame([(i if i else None, u) for i, u in enumerate(URLS + URLS[:3])], "page_id long, url string").withColumns({"rule": F.lit(1), "_token": F.lit("clash"), "_key": F.lit("clash")})
     got = judge_urls(df, RULES, max_sent=max_sent).collect()
     assert len(got) == len(URLS) + 3
     for r in got:
-        if r.url is not None or max_sent:
-            assert (r.host, r.path, r.rule, r.verdict) == brute(r.url), r.url
+        assert (r.host, r.path, r.rule, r.verdict) == brute(r.url), r.url
     assert judge_urls(df.limit(0), RULES, max_sent=max_sent).count() == 0
 
 
+@pytest.mark.parametrize("max_sent", [1 << 20, 0])
+def test_any_pattern_on_null(spark, max_sent):
+    df = spark.createDataFrame([(None,), ("",), ("x",)], "url string")
+    assert {r.verdict for r in judge_urls(df, [pattern_rule("*")], max_sent=max_sent).collect()} == {"block"}
+
+
 def test_only_candidates_run():
     i = TokenIndex([(r, r.tokens[0] if r.tokens else None) for r in RULES])
     assert {r[0].text for r in i.always} == {"track"}

@@ -105,7 +105,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", defaul
 
     Of the rules that fit, the one with the largest rank decides, by text in ties; without any the
     verdict is `default`. A null URL, or one without ://, has empty host and path; patterns are still
-    tried on the latter. Columns of pages with the added names are replaced. Repeated rows get the
+    tried on it, on a null one as on the empty text. Columns of pages with the added names are replaced. Repeated rows get the
     same verdict; an empty table gives no rows. Rule lists of up to max_sent bytes go to every task;
     longer ones become a table, joined with the URLs' tokens.
     """
@@ -130,9 +130,10 @@ def _joined(pages: DataFrame, filed: tuple[tuple[Rule, str | None], ...], parts:
     """The way for long lists: distinct URLs meet the rules' table by token, the best rule of each goes back to its pages."""
     spark = pages.sparkSession
     table = spark.createDataFrame([(t or "", r.text, r.verdict, r.expression, r.where, r.rank) for r, t in filed], "_token string, _text string, _verdict string, _expression string, _where string, _rank long")
-    urls = pages.select(F.col(url_col).alias("_key"), *[c.alias(n) for n, c in parts.items()]).filter("_key IS NOT NULL").distinct()
+    key = F.coalesce(F.col(url_col), F.lit(""))
+    urls = pages.select(key.alias("_key"), *[c.alias(n) for n, c in parts.items()]).distinct()
     tokens = urls.withColumn("_token", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.split("_url", "[^a-z0-9]+")))))
     fits = tokens.join(table, "_token").filter(F.expr("CASE WHEN _where = 'place' THEN concat(_host, _path) ELSE _url END RLIKE concat('(?s)', _expression)"))
-    best = fits.groupBy("_key").agg(F.max(F.struct("_rank", "_text", "_verdict")).alias("__uf"))
-    out = pages.join(best, pages[url_col] == F.col("_key"), "left")
-    return out.withColumns({"host": parts["_host"], "path": parts["_path"], "rule": F.col("__uf._text"), "verdict": F.coalesce("__uf._verdict", F.lit(default))}).drop("__uf", "_key")
+    best = fits.groupBy(F.col("_key").alias("__uf_key")).agg(F.max(F.struct("_rank", "_text", "_verdict")).alias("__uf"))
+    out = pages.join(best, key == F.col("__uf_key"), "left")
+    return out.withColumns({"host": parts["_host"], "path": parts["_path"], "rule": F.col("__uf._text"), "verdict": F.coalesce("__uf._verdict", F.lit(default))}).drop("__uf", "__uf_key")
