@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -165,12 +165,12 @@ class Labeller:
         return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 20_000, max_grams: int = 200_000) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 20_000, max_grams: int = 50_000) -> Model:
     """Learns from labelled documents: those with a text and a lang.
 
     Bounds: if there are more than max_docs, only those are counted whose hash of identifier and
-    text falls into the first max_docs / count of its range, so about max_docs; and of their
-    trigrams the max_grams most frequent (by language) are kept.
+    text falls into the first max_docs / count of its range, so about max_docs; and of each
+    language's trigrams the max_grams most frequent are kept, so that none is starved by another.
     """
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
     n = rows.count()
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         n.clear()
 
     counted = rows.select("text", "lang").mapInArrow(count, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    kept = counted.orderBy(F.col("kind").desc(), F.col("n").desc(), "lang", "key").limit(max_grams)
+    kept = counted.withColumn("nth", F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "key"))).filter(F.col("nth") <= max_grams)
     counts: dict[str, dict[str, int]] = {}
     scripts: dict[str, dict[str, int]] = {}
     for r in kept.collect():
@@ -213,7 +213,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", penalty: floa
     lang_pred is the language of most letters, the alphabetically first in ties, score their share.
     A text that is null or without a letter is `und` with score 0, and so is every text if nothing
     was learned. Spans run from their first word to their last. Existing columns of the added
-    names are replaced. Only the text enters a prediction.
+    names are replaced. Only the text enters a prediction, the whole of it however long; rows that
+    repeat get the same one, and an empty table gives no rows.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "spans")]
     slim = docs.select(*names, F.col(text_col).alias("__li_text"))
