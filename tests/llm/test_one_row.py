@@ -26,5 +26,7 @@ def test_stages(spark):
     assert cp.exact(spark, docs.union(docs), sf).groupBy(F.lower("text")).count().filter("count > 1").count() == 0
     words = " ".join(f"w{i}" for i in range(60))
     two = spark.createDataFrame([(i, " ".join(f"d{i}x{j}" for j in range(200)) + f" {words} end", "en", "s", 1) for i in (1, 2)], docs.schema)
-    out = {r.doc_id: r for r in cp.near(spark, two, sf).collect()}
+    left = cp.near(spark, two, sf)
+    assert sorted(map(tuple, left.collect())) == sorted(map(tuple, two.collect()))
+    out = {r.doc_id: r for r in cp.substrings(spark, left, sf).collect()}
     assert words in out[1].text and "w30" not in out[2].text and out[2].n_chars == len(out[2].text)

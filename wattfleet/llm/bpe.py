@@ -30,7 +30,7 @@ _WORDS = regex.compile(PRE_TOKENS)
 #: White space beyond ASCII's six: texts with it are split by the pattern alone.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Bytes of text that are cut into fragments at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 # Classes of bytes: white space, letters (of U+00C0-U+00FF beyond ASCII), digits, all else.
 _SPACE, _LETTER, _DIGIT, _ELSE = range(4)
 _CLASSES = np.full(256, _ELSE, np.uint8)

@@ -6,7 +6,7 @@ sum over the buffer, and a table with open addressing gives each hash the place
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,32 +21,37 @@ _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
 
 
-class Powers:
-    """Powers of the hash's step and of its inverse, as many as were asked for."""
+#: Bytes whose hashes are made at a time, so that a very long text needs little memory; a longer fragment is by itself.
+PIECE = 1 << 19
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def reach(self, n: int) -> None:
-        if n > len(self.up):
-            for name, x in (("up", _STEP), ("down", _BACK)):
-                setattr(self, name, np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * n, x, np.uint64))]))
-
-
-_POWERS = Powers()
+def powers(n: int) -> list[np.ndarray]:
+    """At least n powers of the hash's step and of its inverse; kept up to PIECE of them."""
+    if n > len(_powers[0]):
+        made = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, 4096), x, np.uint64))]) for x in (_STEP, _BACK)]
+        if n > PIECE:
+            return made
+        _powers[:] = made
+    return _powers
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each fragment's bytes, never 0."""
-    _POWERS.reach(len(data))
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_CODES[data] * _POWERS.up[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _POWERS.down[starts]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return h | np.uint64(1)
+    out, a = np.empty(len(starts), np.uint64), 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + PIECE, "right")))
+        low, high = int(starts[a]), int(ends[b - 1])
+        up, down = powers(high - low)
+        sums = np.empty(high - low + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(_CODES[data[low:high]] * up[: high - low], out=sums[1:])
+        out[a:b] = (sums[ends[a:b] - low] - sums[starts[a:b] - low]) * down[starts[a:b] - low]
+        a = b
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    return out | np.uint64(1)
 
 
 def ragged(pool: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -63,6 +68,13 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of `rows` at most, so that copies of their texts stay small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def blocks(at: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Ranges of texts of some `most` bytes each."""
     out, a, n = [], 0, len(at) - 1

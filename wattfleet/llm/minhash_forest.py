@@ -38,7 +38,7 @@ from wattfleet.llm.fragments import blocks, flat, hashes
 from wattfleet.llm.words import CLASSES, LOWER
 
 #: Bytes of text that are cut into words at a time.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 #: Identifiers that are broadcast at most, some 16 bytes each; beyond it they are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattfleet.llm.common import saved
-from wattfleet.llm.fragments import blocks, flat, hashes
+from wattfleet.llm.fragments import blocks, flat, hashes, sliced
 
 #: Bytes of text that are cut into words at a time.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Characters of words, as ranges of a regular expression: digits, letters, and all beyond U+00BF but general and CJK punctuation.
 WORD_RANGES = r"0-9A-Za-z\x{C0}-\x{1FFF}\x{2070}-\x{2FFF}\x{3040}-\x{10FFFF}"
@@ -61,7 +61,7 @@ class Runs:
             return np.zeros(0, np.uint64)
         if len(h) > len(self.powers):
             for name, x in (("powers", self.multiplier), ("inverse", pow(self.multiplier, -1, 1 << 64))):
-                setattr(self, name, np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * len(h), x, np.uint64))]))
+                setattr(self, name, np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(h), x, np.uint64))]))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * self.powers[: len(h)])])
         x = (sums[width:] - sums[:-width]) * self.inverse[: len(h) - width + 1]
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -115,7 +115,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = Runs(MULTIPLIERS[0])
-        for batch in batches:
+        for batch in sliced(batches):
             data, at = flat(batch.column(2))
             for a, b in blocks(at, BLOCK):
                 own, part = at[a : b + 1] - at[a], _LOWER[data[at[a] : at[b]]]
@@ -147,7 +147,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Hashes of all runs of min_words words that hold one of the units asked for."""
         runs = [Runs(m) for m in MULTIPLIERS]
-        for batch in batches:
+        for batch in sliced(batches):
             data, at = flat(batch.column(2))
             for a, b in blocks(at, BLOCK):
                 own, part = at[a : b + 1] - at[a], _LOWER[data[at[a] : at[b]]]

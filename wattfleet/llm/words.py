@@ -13,7 +13,7 @@ from wattfleet.llm.fragments import FragmentTable, blocks, flat
 
 MARK = "<|endoftext|>"
 #: Bytes of text that are cut into fragments at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 # Classes of bytes: white space, letters (all beyond ASCII that isn't odd), digits, all else.
 _SPACE, _LETTER, _DIGIT, _ELSE = range(4)
 CLASSES = np.full(256, _ELSE, np.uint8)
