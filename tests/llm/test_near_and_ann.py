@@ -91,9 +91,9 @@ def test_link_over_many_partitions(spark):
         for k in rng.sample(range(50), 5):
             w[k] = f"y{rng.randrange(9)}"
         rows.append((i, " ".join(w)))
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
     try:
         same(near_duplicates(df, width=2, reach=2), rows, 2, 80)
     finally:
