@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattfleet.llm.common import saved
+from wattfleet.llm.common import forget, saved
 
 
 def line_hash(line: Column) -> Column:
@@ -52,12 +52,18 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, divisor: int, whole: bo
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 4, whole: bool = False) -> DataFrame:
-    """Every chunk to remove: _id, _row, _chunk, _first (line number from 0), _lines, _keep_id."""
-    chunks = chunked(docs, id_col, text_col, divisor, whole).filter("_lines > 1")
+    """Every chunk to remove: _id, _row, _chunk, _first (line number from 0), _lines, _keep_id.
+
+    Keys are counted on narrow rows, without texts. Both joins by key have written tables on their
+    sides, so that Spark can split the copies of one chunk over tasks or, where few chunks repeat,
+    send these to the others instead of shuffling texts.
+    """
+    chunks = saved(chunked(docs, id_col, text_col, divisor, whole).filter("_lines > 1"), "chunks")
     here = F.struct("_id", "_chunk", "_row")
-    first = chunks.groupBy("_key").agg(F.min(here).alias("_keep"), F.count("*").alias("_count")).filter("_count > 1").drop("_count")
-    found = saved(chunks.join(first, "_key").withColumn("_stays", here.eqNullSafe(F.col("_keep"))), "chunks")
-    stay = found.filter("_stays").groupBy("_key").agg(F.first("_text").alias("_kept_text"))
+    first = saved(chunks.groupBy("_key").agg(F.min(here).alias("_keep"), F.count("*").alias("_count")).filter("_count > 1").drop("_count"), "chunk-keys")
+    found = saved(chunks.join(first, "_key").withColumn("_stays", here.eqNullSafe(F.col("_keep"))), "chunk-repeats")
+    forget(chunks, first)
+    stay = saved(found.filter("_stays").groupBy("_key").agg(F.first("_text").alias("_kept_text")), "chunk-kept")
     return found.filter("NOT _stays").join(stay, "_key").filter("_text = _kept_text").select("_id", "_row", "_chunk", "_first", "_lines", F.col("_keep._id").alias("_keep_id"))
 
 
