@@ -25,10 +25,18 @@ from pyspark.sql import functions as F
 from wattfleet.llm.common import saved
 from wattfleet.llm.words import word_encoder
 
-#: Queues of their own at most; with more sources than that, sources share queues by their hash.
-MAX_QUEUES = 1024
-#: Rows of (partition, queue) offsets that are broadcast at most, of some 100 bytes each; beyond it they are joined by a shuffle.
-MAX_BROADCAST = 500_000
+#: Bytes of (partition, queue) offsets that are broadcast at most; beyond it they are joined by a shuffle, with the same result.
+MAX_BROADCAST = 50 << 20
+
+
+def scaled(n: int, part: np.ndarray, whole: int) -> np.ndarray:
+    """floor(n * part / whole) without overflow, for part < whole < 2**53: long division by digits of ten bits of n."""
+    found, rest = np.zeros(len(part), np.uint64), np.zeros(len(part), np.uint64)
+    ten, divisor = np.uint64(10), np.uint64(whole)
+    for shift in range(-(-n.bit_length() // 10) * 10 - 10, -1, -10):
+        rest = (rest << ten) + part * np.uint64(n >> shift & 1023)
+        found, rest = (found << ten) + rest // divisor, rest % divisor
+    return found.astype(np.int64)
 
 
 class Mixture:
@@ -39,50 +47,57 @@ class Mixture:
     window on; queues without weight come last, by what they hold.
     """
 
-    def __init__(self, totals: dict[int, int], window: int, weights: dict[int, int] | None = None):
-        self.totals, self.window = totals, window
-        self.phases: list[tuple[int, dict[int, int], dict[int, int], int]] = []  # first window; given before it; weights; their sum
-        w, given = 0, dict.fromkeys(totals, 0)
-        while any(given[q] < n for q, n in totals.items()):
-            rest = {q: n - given[q] for q, n in totals.items() if given[q] < n}
-            share = {q: x for q in rest if (x := (totals if weights is None else weights).get(q, 0)) > 0} or rest
-            all_shares = sum(share.values())
-            self.phases.append((w, given, share, all_shares))
-            w += min(-(-rest[q] * all_shares // (window * share[q])) for q in share)
+    def __init__(self, totals: dict, window: int, weights: dict | None = None):
+        self.number, self.window = {q: i for i, q in enumerate(totals)}, window
+        self.totals = np.fromiter(totals.values(), np.int64, len(totals))
+        wanted = self.totals if weights is None else np.array([weights.get(q, 0) for q in totals], np.int64)
+        self.phases: list[tuple] = []  # first window; given before it; weights; their sum; tokens per window as whole numbers and rests
+        w, given = 0, np.zeros_like(self.totals)
+        while (left := given < self.totals).any():
+            share = np.where(left, wanted, 0)
+            if not (share > 0).any():
+                share = np.where(left, self.totals - given, 0)
+            shares, all_shares = share.tolist(), sum(share.tolist())
+            each = [divmod(window * x, all_shares) for x in shares]
+            self.phases.append((w, given, share, all_shares, np.array([x for x, _ in each], np.int64), np.array([x for _, x in each], np.uint64)))
+            rest = (self.totals - given).tolist()
+            w += min(-(-r * all_shares // (window * x)) for r, x in zip(rest, shares) if x > 0)
             given = self._given(len(self.phases) - 1, w)
         self.starts = [p[0] for p in self.phases]
-        self.at = lru_cache(maxsize=64)(self._at)
+        # windows kept by a task, so that they take some 50 MB at most
+        self._at = lru_cache(maxsize=max(2, min(64, 2_000_000 // max(1, len(totals)))))(self._window)
 
-    def _given(self, phase: int, w: int) -> dict[int, int]:
-        first, before, share, all_shares = self.phases[phase]
-        return before | {q: min(self.totals[q], before[q] + (w - first) * self.window * x // all_shares) for q, x in share.items()}
+    def _given(self, phase: int, w: int) -> np.ndarray:
+        first, before, _, all_shares, whole, part = self.phases[phase]
+        return np.minimum(self.totals, before + (w - first) * whole + scaled(w - first, part, all_shares))
 
-    def _at(self, w: int) -> tuple[dict[int, int], dict[int, int], dict[int, int]]:
-        """Of window w, by queue: the first token it takes, the token it ends before, and where the first lies in the output."""
+    def _window(self, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         phase = bisect_right(self.starts, w) - 1
         one, two = self._given(phase, w), self._given(phase, w + 1)
-        place, at = {}, sum(one.values())
-        for q in self.totals:
-            place[q] = at
-            at += two[q] - one[q]
+        return one, two, one.sum() + np.cumsum(two - one) - (two - one)
+
+    def at(self, w: int) -> tuple[dict, dict, dict]:
+        """Of window w, by queue: the first token it takes, the token it ends before, and where the first lies in the output."""
+        one, two, place = (dict(zip(self.number, x.tolist())) for x in self._at(w))
         return one, two, place
 
     def window_of(self, queue: int, token: int) -> int:
-        """The window that takes a queue's token of that number."""
+        """The window that takes the token of that number of the queue of that number."""
         phase = len(self.phases) - 1
         while self.phases[phase][1][queue] > token:
             phase -= 1
-        first, before, share, all_shares = self.phases[phase]
-        return first + -(-(token + 1 - before[queue]) * all_shares // (self.window * share[queue])) - 1
+        first, before, share, all_shares = self.phases[phase][:4]
+        return first + -(-(token + 1 - int(before[queue])) * all_shares // (self.window * int(share[queue]))) - 1
 
-    def pieces(self, queue: int, start: int, n: int, sequence: int) -> Iterator[tuple[int, int, int]]:
+    def pieces(self, queue, start: int, n: int, sequence: int) -> Iterator[tuple[int, int, int]]:
         """The n tokens of a queue from start on, as (first, length, place in the output), cut at windows and sequences."""
-        at, w = start, self.window_of(queue, start) if n else 0
+        q, at = self.number[queue], start
+        w = self.window_of(q, start) if n else 0
         while at < start + n:
-            one, two, place = self.at(w)
-            while at < min(start + n, two[queue]):
-                where = place[queue] + at - one[queue]
-                m = min(start + n, two[queue], at + sequence - where % sequence) - at
+            first, end, place = (int(x[q]) for x in self._at(w))
+            while at < min(start + n, end):
+                where = place + at - first
+                m = min(start + n, end, at + sequence - where % sequence) - at
                 yield at - start, m, where
                 at += m
             w += 1
@@ -94,7 +109,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = word_encoder(vocabulary), TaskContext.get().partitionId()
         end, size = np.array([end_id], enc.kind).tobytes(), enc.kind.itemsize
-        so_far: dict[int, int] = {}
+        so_far: dict[str, int] = {}
         for batch in batches:
             queues = batch.column(2).to_pylist()
             for k in range(0, batch.num_rows, 1000):
@@ -104,13 +119,13 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_c
                     starts.append(so_far.get(q, 0))
                     so_far[q] = starts[-1] + len(x) // size
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(ids), pa.int32()), pa.array(queues[k : k + 1000], pa.int32()), pa.array(starts, pa.int64()), batch.column(0)[k : k + 1000], pa.array([len(x) // size for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    [pa.array([part] * len(ids), pa.int32()), batch.column(2)[k : k + 1000], pa.array(starts, pa.int64()), batch.column(0)[k : k + 1000], pa.array([len(x) // size for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     ["_part", "_queue", "_start", id_col, "doc_tokens", "_ids"],
                 )
 
     slim = docs.select(id_col, text_col, F.col("_queue"))
     kind = slim.schema[0].dataType.simpleString()
-    return slim.mapInArrow(run, f"_part int, _queue int, _start long, `{id_col}` {kind}, doc_tokens long, _ids binary")
+    return slim.mapInArrow(run, f"_part int, _queue string, _start long, `{id_col}` {kind}, doc_tokens long, _ids binary")
 
 
 def pack(
@@ -133,29 +148,20 @@ def pack(
     with_ids. Each id lies in exactly one piece, offsets have no gaps, and all sequences but the
     last are full. weights sets target shares by source; by default sources are mixed by their
     tokens. Null sources form a queue. Null or repeated identifiers are carried, each row being a
-    document of its own. An empty table gives no rows; other columns are ignored.
+    document of its own. An empty table gives no rows; other columns are ignored. Every source has a
+    queue of its own, however many there are; driver and tasks hold one total per source.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    names = [r[0] for r in docs.select(key.alias("q")).distinct().orderBy("q").limit(MAX_QUEUES + 1).collect()]
-    if len(names) <= MAX_QUEUES:
-        queue = F.array_position(F.array(*[F.lit(n) for n in names]), key).cast("int") if names else F.lit(0)
-    else:
-        queue = F.pmod(F.xxhash64(key), F.lit(MAX_QUEUES)).cast("int")
-    shares = None
-    if weights is not None:
-        if len(names) > MAX_QUEUES:
-            raise ValueError(f"weights by source need at most {MAX_QUEUES} sources")
-        shares = {i + 1: weights.get(n, 0) for i, n in enumerate(names)}
-    slim = docs.select(F.col(id_col), F.col(text_col), queue.alias("_queue"))
+    slim = docs.select(F.col(id_col), F.col(text_col), key.alias("_queue"))
     stored = saved(tokenised(slim, vocabulary, end_id, id_col, text_col, source_col), "pack-ids")
     sums = saved(stored.groupBy("_part", "_queue").agg(F.sum("doc_tokens").alias("_n")), "pack-sums")
     before = F.sum("_n").over(Window.partitionBy("_queue").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select("_part", "_queue", F.coalesce(before, F.lit(0)).alias("_before"))
     totals = {r["_queue"]: r["t"] for r in sums.groupBy("_queue").agg(F.sum("_n").alias("t")).orderBy("_queue").collect()}
-    if offsets.count() <= MAX_BROADCAST:
+    if (sums.agg(F.sum(F.octet_length("_queue") + 100)).first()[0] or 0) <= MAX_BROADCAST:
         offsets = F.broadcast(offsets)
-    mixture = (totals, window, shares)
+    mixture = (totals, window, weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, mix = word_encoder(vocabulary).kind, Mixture(*mixture)
