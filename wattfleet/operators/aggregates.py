@@ -17,6 +17,13 @@ def window_means(samples: DataFrame, keys: list[str], channel: str = "channel",
     return samples.groupBy(*keys, channel).agg((F.sum(count) / divisor).alias("avg_count"), F.count(count).alias("n_samples"))
 
 
+def timed_window_means(samples: DataFrame, keys: list[str], at: str, channel: str = "channel", count: str = "count", divisor: int = SAMPLES) -> DataFrame:
+    """window_means with duration: from the first to the last sample of the window, over all its channels; at: a number."""
+    per = samples.groupBy(*keys, channel).agg((F.sum(count) / divisor).alias("avg_count"), F.count(count).alias("n_samples"), F.min(at).alias("_from"), F.max(at).alias("_to"))
+    window = Window.partitionBy(*keys)
+    return per.withColumn("duration", F.max("_to").over(window) - F.min("_from").over(window)).drop("_from", "_to")
+
+
 def calibrated(df: DataFrame, count: str = "avg_count", volts: float | str = 230.0) -> DataFrame:
     """Adds amps and watts to channel rows."""
     return df.withColumn("amps", finite_or_zero(amps(count))).withColumn("watts", watts(volts, "amps"))
@@ -78,3 +85,20 @@ def device_status(readings: DataFrame, key: str, order: list[str], channel: str
     last = F.struct(*order)
     per = [F.max_by(F.when(F.col(channel) == c, F.col(value)), F.when(F.col(channel) == c, last)).alias(f"ct_{c}") for c in range(1, CHANNELS + 1)]
     return readings.groupBy(key).agg(F.max(order[0]).alias("last_seen"), F.count("*").alias("readings"), F.sum(value).alias("total"), *per)
+
+
+def device_report(readings: DataFrame, heartbeats: DataFrame, key: str, order: list[str], fields: list[str], channel: str = "channel") -> DataFrame:
+    """One row per device: `fields` of its newest heartbeat, amps and watts of every channel's newest reading, and their total.
+
+    readings: key, order, channel, amps, watts; heartbeats: key, order, fields (firmware, signal,
+    queue depth, counters). Devices without readings or without heartbeats have nulls there; a
+    channel without a reading adds nothing to the total.
+    """
+    last = F.struct(*order)
+    newest = {c: F.max_by(F.struct("amps", "watts"), F.when(F.col(channel) == c, last)).alias(f"_{c}") for c in range(1, CHANNELS + 1)}
+    power = readings.groupBy(key).agg(F.max(order[0]).alias("last_reading"), *newest.values())
+    parts = {f"ct_{c}_{v}": F.col(f"_{c}.{v}") for c in newest for v in ("amps", "watts")}
+    total = sum((F.coalesce(f"_{c}.watts", F.lit(0.0)) for c in newest), F.lit(0.0))
+    power = power.select(key, "last_reading", *[x.alias(n) for n, x in parts.items()], total.alias("total_watts"))
+    beats = heartbeats.groupBy(key).agg(F.max(order[0]).alias("last_heartbeat"), F.max_by(F.struct(*fields), last).alias("_beat")).select(key, "last_heartbeat", "_beat.*")
+    return power.join(beats, key, "full")

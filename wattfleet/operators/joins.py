@@ -67,6 +67,13 @@ def missed_slots(df: DataFrame, key: str, day: str) -> DataFrame:
     return nxt.filter(F.datediff("_next", day) > 1).select(key, F.explode(F.sequence(F.date_add(day, 1), F.date_sub("_next", 1))).alias("missed"))
 
 
+def missed_intervals(df: DataFrame, key: str, ts: str, every_s: int) -> DataFrame:
+    """Slots of every_s seconds (counted from the epoch) between a key's first and last row in which it has none: their starts, in seconds."""
+    seen = df.select(key, F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / every_s).alias("_slot")).distinct()
+    nxt = seen.withColumn("_next", F.lead("_slot").over(Window.partitionBy(key).orderBy("_slot")))
+    return nxt.filter(F.col("_next") - F.col("_slot") > 1).select(key, F.explode(F.transform(F.sequence(F.col("_slot") + 1, F.col("_next") - 1), lambda s: s * every_s)).alias("missed_at"))
+
+
 def command_effects(commands: DataFrame, writes: DataFrame, keys: list[str], ts: str, within_s: int) -> DataFrame:
     """Commands with the first write of the same setting that follows within a time; writes: keys, ts, value."""
     write = F.struct(F.col(ts).alias("at"), F.col("value").alias("value"))

@@ -144,17 +144,25 @@ def throttle(df: DataFrame, key: str, order: list[str], at: str, gap: int, ancho
     return fold(df, key, order, [at], lambda: anchor, step, "kept boolean")
 
 
-def phase_slots(df: DataFrame, key: str, order: list[str], at: str, interval: int, start: int = 0) -> DataFrame:
-    """Adds slot (null if none is due) and resynced: slots keep their phase until one is more than an interval late."""
+def phase_step(interval: int) -> Callable:
+    """The step of phase_slots on (last slot,)."""
 
-    def step(last, now):
+    def step(state, now):
+        (last,) = state
         if now - last < interval:
-            return last, (None, False)
+            return state, (None, False)
         slot = last + interval
         late = now - slot > interval
-        return (now if late else slot), (now if late else slot, late)
+        slot = int(now if late else slot)
+        return (slot,), (slot, late)
+
+    return step
+
+
+def phase_slots(df: DataFrame, key: str, order: list[str], at: str, interval: int, start: int = 0) -> DataFrame:
+    """Adds slot (null if none is due) and resynced: slots keep their phase until one is more than an interval late."""
 
-    return fold(df, key, order, [at], lambda: start, step, "slot long, resynced boolean")
+    return fold(df, key, order, [at], lambda: (start,), phase_step(interval), "slot long, resynced boolean")
 
 
 def stability_step(limit: int) -> Callable:
@@ -183,13 +191,8 @@ def update_stability(df: DataFrame, key: str, order: list[str], updated: str, cr
     return fold(df, key, order, [updated, crashed], lambda: (False, 0), stability_step(limit), "verdict string")
 
 
-def connection_state(df: DataFrame, key: str, order: list[str], at: str, kind: str, grace: int, failures: int = 5) -> DataFrame:
-    """Adds state after each event of a device: online, grace, offline or upload_pending.
-
-    kind: `up` and `down` of the link, `ok` (200), `reply` (any other answer), `fail` (no answer),
-    `uploaded`. The link being down for more than `grace` makes a device offline, and so does the
-    failures-th failure in a row; any answer then ends that, with an upload pending until it is made.
-    """
+def connection_step(grace: int, failures: int) -> Callable:
+    """The step of connection_state on (mode, down since, failures in a row, upload pending)."""
 
     def step(state, now, event):
         mode, since, run, pending = state
@@ -215,4 +218,40 @@ def connection_state(df: DataFrame, key: str, order: list[str], at: str, kind: s
         mode = "offline" if offline else "grace" if since is not None else "online"
         return (mode, since, run, pending), ("upload_pending" if mode == "online" and pending else mode,)
 
-    return fold(df, key, order, [at, kind], lambda: ("online", None, 0, False), step, "state string")
+    return step
+
+
+def connection_state(df: DataFrame, key: str, order: list[str], at: str, kind: str, grace: int, failures: int = 5) -> DataFrame:
+    """Adds state after each event of a device: online, grace, offline or upload_pending.
+
+    kind: `up` and `down` of the link, `ok` (200), `reply` (any other answer), `fail` (no answer),
+    `uploaded`. The link being down for more than `grace` makes a device offline, and so does the
+    failures-th failure in a row; any answer then ends that, with an upload pending until it is made.
+    """
+    return fold(df, key, order, [at, kind], lambda: ("online", None, 0, False), connection_step(grace, failures), "state string")
+
+
+def spaced_retries(df: DataFrame, key: str, order: list[str], at: str, scheduled: Column, failed: Column, spacing: int, retries: int = 3) -> DataFrame:
+    """retry_cycles for attempts that must lie apart: a failed attempt counts as a retry from `spacing` after the cycle's check or its last retry on; sooner, none is due."""
+
+    def step(state, now, checks, fails):
+        cycle, last, n = state
+        if checks:
+            return (cycle + 1, now, 0), (None, None, None)
+        if not fails or not cycle or n >= retries or now - last < spacing:
+            return state, (None, None, None)
+        return (cycle, now, n + 1), (cycle, n + 1, n + 1 == retries)
+
+    df = df.withColumns({"_scheduled": scheduled, "_failed": failed})
+    out = fold(df, key, order, [at, "_scheduled", "_failed"], lambda: (0, None, 0), step, "cycle long, retry long, exhausted boolean")
+    return out.filter("retry IS NOT NULL").drop("_scheduled", "_failed")
+
+
+def due_uploads(df: DataFrame, key: str, order: list[str], at: str, queued: str, spacing: int) -> DataFrame:
+    """Attempts that may be made: the live queue is empty, and the last such attempt is at least `spacing` ago; an unknown queue isn't empty."""
+
+    def step(last, now, depth):
+        due = depth == 0 and (last is None or now - last >= spacing)
+        return (now if due else last), (due,)
+
+    return fold(df, key, order, [at, queued], lambda: None, step, "due boolean").filter("due").drop("due")

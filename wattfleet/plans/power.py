@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from wattfleet.functions import quality, scalars
 from wattfleet.operators import aggregates, sequences
-from wattfleet.plans.registry import CODE_SQL, ORDER, REASON_SQL, channel, code, events, query, reason, table
+from wattfleet.plans.registry import CODE_SQL, ORDER, REASON_SQL, channel, code, events, micros, query, reason, table
 from wattfleet.streaming import streams
 
 
@@ -83,6 +83,32 @@ def cal_points(spark, sf_dir):
     return aggregates.calibration_points(e, "channel", "point", "value", "event_id").withColumn("mean_value", F.round("mean_value", 6))
 
 
+@query("""
+    SELECT user_id, CAST(ts AS DATE)::VARCHAR AS day, event_id % 6 + 1 AS channel, round(sum(value) / 500, 6) AS avg_count, count(*) AS n_samples,
+           max(max(epoch_us(ts))) OVER (PARTITION BY user_id, CAST(ts AS DATE)) - min(min(epoch_us(ts))) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS duration_us
+    FROM events GROUP BY user_id, CAST(ts AS DATE), event_id % 6 + 1""")
+def timed_windows(spark, sf_dir):
+    e = events(spark, sf_dir).select("user_id", F.to_date("ts").cast("string").alias("day"), (F.col("event_id") % 6 + 1).alias("channel"), "value", micros().alias("us"))
+    out = aggregates.timed_window_means(e, ["user_id", "day"], "us", count="value")
+    return out.withColumn("avg_count", F.round("avg_count", 6)).withColumnRenamed("duration", "duration_us")
+
+
+@query("""
+    WITH p AS (SELECT user_id, max(ts) AS last_reading, """ + ", ".join(f"arg_max(0.0123 * value + 0.13, (ts, event_id)) FILTER (event_id % 6 + 1 = {c}) AS a{c}" for c in range(1, 7)) + """ FROM events WHERE event_type <> 'signup' GROUP BY user_id),
+    h AS (SELECT user_id, max(ts) AS last_heartbeat, arg_max(event_id, (ts, event_id)) AS beat FROM events WHERE event_type = 'signup' GROUP BY user_id)
+    SELECT user_id, last_reading, last_heartbeat, -(beat % 90) AS wifi_rssi, beat % 30 AS queue_depth, beat AS total_sent, beat % 7 AS total_failed, beat % 3 AS total_dropped,
+           """ + ", ".join(f"round(a{c}, 6) AS ct_{c}_amps, round(a{c} * 230.0 * 0.9, 6) AS ct_{c}_watts" for c in range(1, 7)) + """,
+           CASE WHEN last_reading IS NOT NULL THEN round(""" + " + ".join(f"coalesce(a{c} * 230.0 * 0.9, 0)" for c in range(1, 7)) + """, 6) END AS total_watts
+    FROM p FULL JOIN h USING (user_id)""")
+def device_report(spark, sf_dir):
+    e = events(spark, sf_dir)
+    readings = aggregates.calibrated(e.filter("event_type != 'signup'").withColumn("channel", channel()), "value")
+    i = F.col("event_id")
+    beats = e.filter("event_type = 'signup'").select("user_id", *ORDER, (-(i % 90)).alias("wifi_rssi"), (i % 30).alias("queue_depth"), i.alias("total_sent"), (i % 7).alias("total_failed"), (i % 3).alias("total_dropped"))
+    out = aggregates.device_report(readings, beats, "user_id", ORDER, ["wifi_rssi", "queue_depth", "total_sent", "total_failed", "total_dropped"])
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.endswith(("_amps", "_watts"))})
+
+
 @query("SELECT user_id, max(ts) AS last_seen, count(*) AS readings, round(sum(value), 4) AS total, " + ", ".join(f"arg_max(value, (ts, event_id)) FILTER (event_id % 6 + 1 = {c}) AS ct_{c}" for c in range(1, 7)) + " FROM events GROUP BY user_id")
 def device_status(spark, sf_dir):
     out = aggregates.device_status(events(spark, sf_dir).withColumn("channel", channel()), "user_id", ORDER)

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from wattfleet.operators import joins, sequences
-from wattfleet.plans.registry import CODE_SQL, ORDER, code, events, micros, query
+from wattfleet.plans.join_queries import _stream, event_stream
+from wattfleet.plans.registry import CODE_SQL, ORDER, SQL, code, events, micros, query
 from wattfleet.streaming import streams
 
 HOUR = 3_600_000_000
@@ -188,3 +189,49 @@ def connection_state(spark, sf_dir):
     SELECT user_id, missed::VARCHAR AS missed FROM g ANTI JOIN d ON d.user_id = g.user_id AND d.day = g.missed""")
 def missed_days(spark, sf_dir):
     return joins.missed_slots(events(spark, sf_dir).withColumn("day", F.to_date("ts")), "user_id", "day").withColumn("missed", F.col("missed").cast("string"))
+
+
+@query("""
+    WITH d AS (SELECT DISTINCT user_id, epoch_us(ts) // 21600000000 AS slot FROM events),
+    g AS (SELECT user_id, unnest(range(min(slot), max(slot) + 1)) AS slot FROM d GROUP BY user_id)
+    SELECT user_id, slot * 21600 AS missed_at FROM g ANTI JOIN d USING (user_id, slot)""")
+def missed_6h(spark, sf_dir):
+    return joins.missed_intervals(events(spark, sf_dir), "user_id", "ts", 21_600)
+
+
+@query(f"""
+    WITH RECURSIVE {_NUMBERED}, s AS (SELECT user_id, 0 AS k, CAST(NULL AS BIGINT) AS event_id, 0 AS cycle, CAST(NULL AS BIGINT) AS last, 0 AS tries, FALSE AS hit FROM n WHERE k = 1),
+    f AS (SELECT user_id, k, event_id, cycle, last, tries, hit FROM s UNION ALL
+        SELECT user_id, k, event_id, cycle + (t = 'click')::INT, CASE WHEN t = 'click' OR due THEN us ELSE last END, CASE WHEN t = 'click' THEN 0 WHEN due THEN tries + 1 ELSE tries END, due
+        FROM (SELECT n.user_id, n.k, n.event_id, n.us, n.event_type AS t, f.cycle, f.last, f.tries, n.event_type = 'error' AND f.cycle > 0 AND f.tries < 3 AND coalesce(n.us - f.last >= {6 * HOUR}, FALSE) AS due FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1))
+    SELECT event_id, cycle::BIGINT AS cycle, tries::BIGINT AS retry, tries = 3 AS exhausted FROM f WHERE hit""")
+def retry_cycles_spaced(spark, sf_dir):
+    e, t = events(spark, sf_dir).select("event_id", "user_id", "ts", "event_type", micros().alias("us")), F.col("event_type")
+    return sequences.spaced_retries(e, "user_id", ORDER, "us", t == "click", t == "error", 6 * HOUR).select("event_id", "cycle", "retry", "exhausted")
+
+
+@query(f"""
+    WITH RECURSIVE {_NUMBERED}, s AS (SELECT user_id, 0 AS k, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS last, FALSE AS due FROM n WHERE k = 1),
+    f AS (SELECT user_id, k, event_id, last, due FROM s UNION ALL
+        SELECT user_id, k, event_id, CASE WHEN ok THEN us ELSE last END, ok
+        FROM (SELECT n.user_id, n.k, n.event_id, n.us, f.last, n.event_id % 3 = 0 AND coalesce(n.us - f.last >= {6 * HOUR}, TRUE) AS ok FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1)),
+    c AS (SELECT e.*, {CODE_SQL} IN (200, 400, 422) AS done FROM events e JOIN f USING (user_id, event_id) WHERE f.due),
+    u AS (SELECT *, coalesce(count(*) FILTER (done) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS session FROM c)
+    SELECT user_id, session, count(*) AS attempts, min(ts) AS session_start, max(ts) AS session_end, bool_or(done) AS finished FROM u GROUP BY ALL""")
+def upload_sessions_due(spark, sf_dir):
+    e = events(spark, sf_dir).select("event_id", "user_id", "ts", "event_type", micros().alias("us"), (F.col("event_id") % 3).alias("queued"))
+    return sequences.upload_sessions(sequences.due_uploads(e, "user_id", ORDER, "us", "queued", 6 * HOUR), "user_id", ORDER, "ts", code().isin(200, 400, 422))
+
+
+@query(SQL["phase_slots_6h"])
+def phase_slots_stream(spark, sf_dir):
+    e = event_stream(spark, sf_dir).select("event_id", "user_id", micros().alias("us"))
+    out = streams.phase_slots_stream(e, "user_id", ["us", "event_id"], "us", 6 * HOUR, "event_id long, user_id long, us long", _START)
+    return _stream(spark, out, "append").select("event_id", "slot", "resynced")
+
+
+@query(SQL["connection_state"])
+def connection_state_stream(spark, sf_dir):
+    e = event_stream(spark, sf_dir).select("event_id", "user_id", micros().alias("us"), F.expr(KIND_SQL).alias("kind"))
+    out = streams.connection_stream(e, "user_id", ["us", "event_id"], "us", "kind", 6 * HOUR, "event_id long, user_id long, us long, kind string", failures=2)
+    return _stream(spark, out, "append").select("event_id", "state")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wattfleet.operators.sequences import stability_step
+from wattfleet.operators.sequences import connection_step, phase_step, stability_step
 
 
 def latest_by_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -64,7 +64,7 @@ def fold_stream(df: DataFrame, key: str, order: list[str], inputs: list[str], st
             found.append(new)
         state.update(now)
         for i, n in enumerate(names):
-            rows[n] = [f[i] for f in found]
+            rows[n] = pd.Series([f[i] for f in found], index=rows.index, dtype=object)
         yield rows
 
     return df.groupBy(key).applyInPandasWithState(run, f"{schema}, {outputs}", state_schema, "append", GroupStateTimeout.NoTimeout)
@@ -84,3 +84,13 @@ def throttle_stream(df: DataFrame, key: str, order: list[str], at: str, gap: int
 def stability_stream(df: DataFrame, key: str, order: list[str], updated: str, crashed: str, schema: str, limit: int = 3) -> DataFrame:
     """Streaming update stability: verdict as in sequences.update_stability."""
     return fold_stream(df, key, order, [updated, crashed], lambda: (False, 0), stability_step(limit), "fresh boolean, crashes long", "verdict string", schema)
+
+
+def phase_slots_stream(df: DataFrame, key: str, order: list[str], at: str, interval: int, schema: str, start: int = 0) -> DataFrame:
+    """Streaming phase slots: slot and resynced as in sequences.phase_slots."""
+    return fold_stream(df, key, order, [at], lambda: (start,), phase_step(interval), "slot long", "slot long, resynced boolean", schema)
+
+
+def connection_stream(df: DataFrame, key: str, order: list[str], at: str, kind: str, grace: int, schema: str, failures: int = 5) -> DataFrame:
+    """Streaming connection state: state as in sequences.connection_state."""
+    return fold_stream(df, key, order, [at, kind], lambda: ("online", None, 0, False), connection_step(grace, failures), "mode string, since long, run long, pending boolean", "state string", schema)
