@@ -51,20 +51,32 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, divisor: int, whole: bo
     return rows.withColumn("_key", F.substring(F.unhex(F.sha2("_text", 256)), 1, 16))
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 4, whole: bool = False) -> DataFrame:
-    """Every chunk to remove: _id, _row, _chunk, _first (line number from 0), _lines, _keep_id.
-
-    Keys are counted on narrow rows, without texts. Both joins by key have written tables on their
-    sides, so that Spark can split the copies of one chunk over tasks or, where few chunks repeat,
-    send these to the others instead of shuffling texts.
+def with_repeats(docs: DataFrame, id_col: str, text_col: str, divisor: int, whole: bool) -> DataFrame:
+    """docs, written, with __lc_id, __lc_row (hash of the text), __lc (chunks that repeat, null if none) and __lc_differ.
+
+    Of a chunk __lc holds _chunk, _first (line number from 0), _lines, _key, _stays. __lc_differ has
+    the numbers of those whose bytes are not those of the occurrence that stays, null if none.
+    Keys are counted and joined on narrow rows without texts; a text is shuffled once, to meet the
+    list of its repeated chunks, and after that only repeated chunks are, to be compared. The joins
+    have written tables on their sides, so that Spark can split the copies of one chunk over tasks.
+    Both sides grow with the corpus, hence the hints.
     """
-    chunks = saved(chunked(docs, id_col, text_col, divisor, whole).filter("_lines > 1"), "chunks")
+    chunks = saved(chunked(docs, id_col, text_col, divisor, whole).filter("_lines > 1").drop("_text"), "chunks")
     here = F.struct("_id", "_chunk", "_row")
     first = saved(chunks.groupBy("_key").agg(F.min(here).alias("_keep"), F.count("*").alias("_count")).filter("_count > 1").drop("_count"), "chunk-keys")
-    found = saved(chunks.join(first, "_key").withColumn("_stays", here.eqNullSafe(F.col("_keep"))), "chunk-repeats")
+    found = chunks.join(first.hint("merge"), "_key").select("_id", "_row", F.struct("_chunk", "_first", "_lines", "_key", here.eqNullSafe(F.col("_keep")).alias("_stays")).alias("_c"))
+    lists = found.groupBy(F.col("_id").alias("__lc_id"), F.col("_row").alias("__lc_row")).agg(F.collect_set("_c").alias("__lc"))
+    same = docs[id_col].eqNullSafe(F.col("__lc_id")) & (F.xxhash64(docs[text_col]) == F.col("__lc_row"))
+    marked = saved(docs.join(lists.hint("merge"), same, "left"), "chunk-docs")
     forget(chunks, first)
-    stay = saved(found.filter("_stays").groupBy("_key").agg(F.first("_text").alias("_kept_text")), "chunk-kept")
-    return found.filter("NOT _stays").join(stay, "_key").filter("_text = _kept_text").select("_id", "_row", "_chunk", "_first", "_lines", F.col("_keep._id").alias("_keep_id"))
+    lines = F.split(F.col(text_col), "\n")
+    cut = F.transform("__lc", lambda c: F.struct(c["_chunk"].alias("_chunk"), c["_key"].alias("_key"), c["_stays"].alias("_stays"), F.array_join(F.slice(lines, c["_first"] + 1, c["_lines"]), "\n").alias("_text")))
+    texts = marked.filter("__lc IS NOT NULL").select("__lc_id", "__lc_row", F.explode(cut).alias("_c")).select("__lc_id", "__lc_row", "_c.*")
+    kept = saved(texts.filter("_stays").groupBy("_key").agg(F.first("_text").alias("_kept")), "chunk-kept")
+    differ = texts.filter("NOT _stays").join(kept.hint("merge"), "_key", "left").filter("NOT _text <=> _kept")
+    differ = saved(differ.groupBy(F.col("__lc_id").alias("__lc_i"), F.col("__lc_row").alias("__lc_r")).agg(F.collect_set("_chunk").alias("__lc_differ")), "chunk-differ")
+    forget(kept)
+    return marked.join(differ, F.col("__lc_id").eqNullSafe(F.col("__lc_i")) & (F.col("__lc_row") == F.col("__lc_r")), "left").drop("__lc_i", "__lc_r")
 
 
 def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 4, count_col: str | None = "removed_lines", whole: bool = False) -> DataFrame:
@@ -76,10 +88,10 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty one is one empty line. Rows equal in identifier and text count as one document. A column
     of docs that has the added name is replaced. An empty table gives no rows.
     """
-    gone = repeated_chunks(docs, id_col, text_col, divisor, whole).distinct()
-    gone = gone.groupBy(F.col("_id").alias("__lc_id"), F.col("_row").alias("__lc_row")).agg(F.collect_list(F.sequence(F.col("_first"), F.col("_first") + F.col("_lines") - 1)).alias("__lc_gone"))
-    gone = gone.withColumn("__lc_gone", F.flatten("__lc_gone"))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("__lc_id")) & (F.xxhash64(docs[text_col]) == F.col("__lc_row")), "left")
+    joined = with_repeats(docs, id_col, text_col, divisor, whole)
+    gone = F.filter("__lc", lambda c: ~c["_stays"] & ~F.coalesce(F.array_contains("__lc_differ", c["_chunk"]), F.lit(False)))
+    numbers = F.flatten(F.transform(gone, lambda c: F.sequence(c["_first"], c["_first"] + c["_lines"] - 1)))
+    joined = joined.withColumn("__lc_gone", F.when(F.size(numbers) > 0, numbers))
     joined = joined.withColumn("__lc_lines", F.when(F.col("__lc_gone").isNotNull(), F.split(F.col(text_col), "\n")))
     lines = F.col("__lc_lines")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lc_gone"))
@@ -87,4 +99,4 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     new = {text_col: cleaned}
     if count_col:
         new[count_col] = F.when(F.col("__lc_gone").isNull(), 0).otherwise(F.size("__lc_gone")).cast("long")
-    return joined.withColumns(new).drop("__lc_id", "__lc_row", "__lc_gone", "__lc_lines")
+    return joined.withColumns(new).drop("__lc_id", "__lc_row", "__lc", "__lc_differ", "__lc_gone", "__lc_lines")
