@@ -75,3 +75,20 @@ def test_flat_files(spark, tmp_path):
             want.append((f, k, at, len(ids) - at, False))
     got = [(int(r.stream[-5]), r.ordinal, r.start, r.n_tokens, r.complete) for r in count_tokens(read_streams(spark, str(tmp_path), 2), 9).collect()]
     assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("max_sent", [1 << 30, 0])
+def test_long_rule_list(spark, max_sent):
+    rules = [pattern_rule(f"||host{i}.") for i in range(20_000)] + [host_rule("block", "org", "/bad/")]
+    urls = ["http://host7.com/", "http://a.host19999.net/x", "http://host20000.com/", "http://x.org/bad/1", "http://x.org/good", None]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.rule) for r in judge_urls(df, rules, max_sent=max_sent).collect()}
+    assert got == {0: ("block", "||host7."), 1: ("block", "||host19999."), 2: ("allow", None), 3: ("block", "org/bad/"), 4: ("allow", None), 5: ("allow", None)}
+
+
+def test_odd_bytes_and_ranges(spark, tmp_path):
+    (tmp_path / "s.bin").write_bytes(np.array([1, 2, 9, 3], "<u2").tobytes() + b"\x07")
+    (tmp_path / "t.bin").write_bytes(b"")
+    blocks = read_streams(spark, str(tmp_path), 4)
+    assert sorted((r.stream[-5], r.block, bytes(r.tokens)) for r in blocks.collect()) == [("s", 0, b"\x01\x00\x02\x00"), ("s", 1, b"\x09\x00\x03\x00"), ("s", 2, b"\x07")]
+    assert sorted((r.ordinal, r.start, r.n_tokens, r.complete) for r in count_tokens(blocks, 9).collect()) == [(0, 0, 2, True), (1, 3, 1, False)]

@@ -71,11 +71,15 @@ def parsed(url: Column) -> dict[str, Column]:
 
 
 def rarest_tokens(urls: DataFrame, rules: list[Rule]) -> dict[Rule, str | None]:
-    """Each rule's token that fewest URLs hold; ties go to the longer, then the smaller. urls: column _url."""
+    """Each rule's token that fewest URLs hold; ties go to the longer, then the smaller. urls: column _url.
+
+    The rules' tokens are a table, so a list of any length makes the same plan.
+    """
     wanted = sorted({t for r in rules for t in r.tokens})
     if not wanted:
         return dict.fromkeys(rules)
-    seen = urls.select(F.explode(F.array_intersect(F.array_distinct(F.split("_url", "[^a-z0-9]+")), F.array(*map(F.lit, wanted)))).alias("t"))
+    table = urls.sparkSession.createDataFrame([(t,) for t in wanted], "t string")
+    seen = urls.select(F.explode(F.array_distinct(F.split("_url", "[^a-z0-9]+"))).alias("t")).join(table, "t")
     counts = {r["t"]: r["n"] for r in seen.groupBy("t").agg(F.count("*").alias("n")).collect()}
     return {r: min(r.tokens, key=lambda t: (counts.get(t, 0), -len(t), t), default=None) for r in rules}
 
