@@ -10,10 +10,12 @@ superblocks, so that one huge stream isn't the work of one task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,17 +27,23 @@ SUPER = 1024
 
 
 def read_streams(spark: SparkSession, path: str, block_bytes: int = 4 << 20) -> DataFrame:
-    """Blocks (stream, block, tokens) of flat binary files; a file is the unit of reading, a block that of scanning."""
+    """Blocks (stream, block, tokens) of flat binary files. Only names and lengths are listed; each
+    block is a byte range that its task reads by itself, so a file may have any size. An empty file
+    has no block. block_bytes must be a multiple of an id's width.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column(0), batch.column(1)):
-                view = memoryview(data.as_buffer())
-                for k in range(0, max(1, -(-len(view) // block_bytes))):
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([k], pa.int64()), pa.array([view[k * block_bytes : (k + 1) * block_bytes]], pa.binary())], ["stream", "block", "tokens"])
+            for name, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                files, place = FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                with files.open_input_file(place) as f:
+                    at = block * block_bytes
+                    data = f.read_at(min(block_bytes, f.size() - at), at)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], ["stream", "block", "tokens"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "stream string, block long, tokens binary")
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("stream"), "length")
+    ranges = files.select("stream", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("length") / block_bytes) - 1, F.lit(0)))).alias("block"))
+    return ranges.repartition("stream", "block").mapInArrow(run, "stream string, block long, tokens binary")
 
 
 def write_streams(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
@@ -107,14 +115,15 @@ def count_tokens(blocks: DataFrame, end_id: int, dtype: str = "<u2") -> DataFram
     blocks: stream, block (0, 1, ... in order), tokens (whole ids of dtype). A stream's last tokens
     without a separator after them form a document that isn't complete. Documents may be empty; an
     empty stream has none. Blocks with null tokens count as empty; rows with a null stream form a
-    stream. Other columns are ignored.
+    stream. Bytes at a block's end that make no whole id are no token. Other columns are ignored.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], []]
             for data in batch.column(2):
-                ids = np.frombuffer(data.as_py() or b"", dtype)
+                raw = data.as_py() or b""
+                ids = np.frombuffer(raw, dtype, len(raw) // np.dtype(dtype).itemsize)
                 at = np.flatnonzero(ids == end_id)
                 for c, x in zip(out, (len(ids), len(at), at)):
                     c.append(x)
