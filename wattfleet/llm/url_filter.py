@@ -79,8 +79,10 @@ def rarest_tokens(urls: DataFrame, rules: list[Rule]) -> dict[Rule, str | None]:
     if not wanted:
         return dict.fromkeys(rules)
     table = urls.sparkSession.createDataFrame([(t,) for t in wanted], "t string")
-    seen = urls.select(F.explode(F.array_distinct(F.split("_url", "[^a-z0-9]+"))).alias("t")).join(table, "t")
-    counts = {r["t"]: r["n"] for r in seen.groupBy("t").agg(F.count("*").alias("n")).collect()}
+    seen, few = urls.select(F.explode(F.array_distinct(F.split("_url", "[^a-z0-9]+"))).alias("t")), sum(map(len, wanted)) <= MAX_SENT
+    # tokens of long lists are counted before they meet the table, so that a common one is a row per task
+    n = (seen.join(F.broadcast(table), "t") if few else seen).groupBy("t").agg(F.count("*").alias("n"))
+    counts = {r["t"]: r["n"] for r in (n if few else n.join(table, "t")).collect()}
     return {r: min(r.tokens, key=lambda t: (counts.get(t, 0), -len(t), t), default=None) for r in rules}
 
 
