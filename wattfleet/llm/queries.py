@@ -15,8 +15,10 @@ from wattfleet.llm.common import LOWER, UPPER, table
 from wattfleet.llm.exact_dedup import exact_duplicates
 from wattfleet.llm.line_chunks import dedup_chunks
 from wattfleet.llm.minhash_forest import near_duplicates
+from wattfleet.llm.order_minhash import edited_fingerprints
 from wattfleet.llm.packing import pack
 from wattfleet.llm.passages import WORD_RANGES, dedup_passages
+from wattfleet.llm.spelling import spelling_variants
 from wattfleet.llm.substring_dedup import dedup_substrings
 from wattfleet.llm.token_counts import document_token_counts
 from wattfleet.llm.url_filter import host_rule, judge_urls, pattern_rule
@@ -80,6 +82,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), sequence=2048, end_id=1)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_passage_dedup": op2_passage_dedup,
@@ -93,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
+    "op11_spelling": op11_spelling,
+    "op12_fingerprints": op12_fingerprints,
 }
 
 _PATTERN_SQL = " ".join(
