@@ -12,6 +12,7 @@ from wattfleet.llm import language_id
 from wattfleet.llm.ann_scan import search
 from wattfleet.llm.bpe import encode_decode
 from wattfleet.llm.common import LOWER, UPPER, table
+from wattfleet.llm.conversation_trie import prefix_trie
 from wattfleet.llm.exact_dedup import exact_duplicates
 from wattfleet.llm.line_chunks import dedup_chunks
 from wattfleet.llm.minhash_forest import near_duplicates
@@ -90,6 +91,11 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prefix_trie(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_passage_dedup": op2_passage_dedup,
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_spelling": op11_spelling,
     "op12_fingerprints": op12_fingerprints,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _PATTERN_SQL = " ".join(
@@ -181,4 +188,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op13_prefix_trie": """
+        WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        n AS (SELECT conv_id AS c, count(*) AS n, conv_id - conv_id % 100 AS base FROM t GROUP BY conv_id),
+        b AS (SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                                    lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))) AS crc FROM n),
+        h AS (SELECT *, xor(crc, 4294967295) % 6 AS h FROM b),
+        k AS (SELECT h.c, h.n, h.h, h.base, count(t.pos) AS k FROM h LEFT JOIN t ON t.conv_id = h.base AND t.pos < h.h GROUP BY ALL),
+        r AS (SELECT k.c, t.pos + 1 AS d, role, text FROM k JOIN t ON t.conv_id = k.base AND t.pos < k.h
+              UNION ALL SELECT k.c, t.pos - k.h + k.k + 1, role, text FROM k JOIN t ON t.conv_id = k.c AND t.pos >= k.h),
+        p AS (SELECT c, d, length(text) AS chars, list({'r': role, 't': text}) OVER (PARTITION BY c ORDER BY d) AS path FROM r
+              UNION ALL SELECT c, 0, 0, [] FROM k),
+        q AS (SELECT c, d, chars, path, CASE WHEN d > 0 THEN path[: d - 1] END AS up, d = max(d) OVER (PARTITION BY c) AS last FROM p),
+        v AS (SELECT path, d, any_value(up) AS up, min(c) AS c, count(*) AS n, any_value(chars) AS chars, bool_and(last) AS leaf, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends FROM q GROUP BY path, d),
+        s AS (SELECT a.path, a.d, sum((w.n - 1) * w.chars)::BIGINT AS saved, count(*) FILTER (w.leaf) AS leaves FROM v w JOIN q z ON z.c = w.c AND z.d = w.d JOIN q a ON a.c = w.c AND a.d <= w.d GROUP BY a.path, a.d),
+        u AS (SELECT up AS path, d - 1 AS d, count(*) AS kids FROM v WHERE d > 0 GROUP BY ALL)
+        SELECT v.c AS conv_id, v.d AS depth, o.c AS parent_conv_id, v.n AS n_convs, coalesce(u.kids, 0) AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, v.ends AS ends_sha256
+        FROM v LEFT JOIN v o ON o.d = v.d - 1 AND o.path = v.up LEFT JOIN u ON u.d = v.d AND u.path = v.path JOIN s ON s.d = v.d AND s.path = v.path""",
 }
