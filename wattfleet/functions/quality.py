@@ -78,10 +78,20 @@ def gate_offline_files(df: DataFrame, content: str = "content", length: str = "l
     return df.withColumn("status", status).withColumn("capped", F.col(length) >= MAX_OFFLINE)
 
 
+def is_unsynced(ts: Column | str = "timestamp") -> Column:
+    """The sentinel of a clock that was never set, epoch 0, or no time."""
+    text = col(ts).cast("string")
+    return text.isNull() | text.isin(UNSYNCED, "0") | text.startswith("1970-01-01")
+
+
+def mark_unsynced(df: DataFrame, ts: str = "timestamp") -> DataFrame:
+    """Adds side, good or bad; sources.stores.write_sides puts both away in one pass."""
+    return df.withColumn("side", F.when(is_unsynced(ts), "bad").otherwise("good"))
+
+
 def quarantine_unsynced(df: DataFrame, ts: str = "timestamp") -> tuple[DataFrame, DataFrame]:
-    """(good, bad): bad rows carry the sentinel of a clock that was never set, epoch 0, or no time."""
-    text = F.col(ts).cast("string")
-    bad = text.isNull() | text.isin(UNSYNCED, "0") | text.startswith("1970-01-01")
+    """(good, bad): bad rows have no usable time. Each is a pass of its own over df; mark_unsynced is for one pass."""
+    bad = is_unsynced(ts)
     return df.filter(~bad), df.filter(bad)
 
 
@@ -103,9 +113,11 @@ def fill_config(df: DataFrame) -> DataFrame:
     return df.withColumns({"rating": F.coalesce("rating", F.lit(30)), "tz": F.coalesce("tz", F.lit("UTC"))})
 
 
-def dead_letter(df: DataFrame, key: str, order: str, text: str, cap: int = 50_000) -> DataFrame:
+def dead_letter(df: DataFrame, key: str, order: str, text: str, cap: int = 50_000, start: DataFrame | None = None) -> DataFrame:
     """The rows that a log with a size cap takes: those before which it hadn't reached the cap; each takes its bytes and a line end of two.
 
+    start: key and bytes of logs that hold something already, one row each.
+
     The running size needs a key's rows in order, but no more than cap / 2 + 1 of them, since each
     takes two bytes at least; Spark drops the others before the shuffle.
     """
@@ -114,4 +126,8 @@ def dead_letter(df: DataFrame, key: str, order: str, text: str, cap: int = 50_00
     first = Window.partitionBy(key).orderBy(order)
     before = F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 2).over(first.rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= cap // 2 + 1).drop("_nth")
-    return df.withColumn("bytes_before", F.coalesce(before, F.lit(0)).cast("long")).filter(F.col("bytes_before") < cap)
+    df = df.withColumn("bytes_before", F.coalesce(before, F.lit(0)).cast("long"))
+    if start is not None:
+        start = start.select(F.col(key).alias("_key"), F.col("bytes").alias("_bytes"))
+        df = df.join(start, df[key].eqNullSafe(F.col("_key")), "left").withColumn("bytes_before", F.col("bytes_before") + F.coalesce("_bytes", F.lit(0))).drop("_key", "_bytes")
+    return df.filter(F.col("bytes_before") < cap)

@@ -1,13 +1,15 @@
 """Enrichment, history, ingest and streaming queries."""
 
-import uuid
+import zlib
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from wattfleet.functions import quality, scalars
 from wattfleet.operators import history, joins, sequences
-from wattfleet.plans.registry import ORDER, channel, events, query, table
-from wattfleet.sources import ingest, ls01, sinks
+from wattfleet.plans.registry import ORDER, channel, events, query, scratch, table
+from wattfleet.sources import ingest, ls01, sinks, stores
 from wattfleet.streaming import streams
 
 
@@ -171,21 +173,23 @@ def calibration_ingest(spark, sf_dir):
     return ingest.calibration_from_kv(c.select(F.col("c_custkey").alias("device_id"), pairs).withColumn("written_at", F.lit(1)))
 
 
-def scratch(spark) -> str:
-    """A new folder that driver and executors share; with a local master one is made if spark.checkpoint.dir is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        import tempfile
+def _one_each(logs, path: str) -> str:
+    """A file for each owner."""
+    logs.write.partitionBy("owner").text(path)
+    return path
 
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/{uuid.uuid4().hex}"
 
+def _packed(logs, path: str):
+    """Files of many owners, a JSON line for each."""
+    logs.select("owner", "value").write.json(path)
+    return logs.sparkSession.read.schema("owner long, value string").json(path)
 
-def _file_ingest(spark, sf_dir, owner):
-    """Files of every kind written and read again; owner is what an error log or a saved queue belongs to."""
+
+def _file_ingest(spark, sf_dir, owner, packed):
+    """Files of every kind written and read again; owner is what an error log or a saved queue belongs to.
+
+    packed: the logs and queues of many owners lie in one file, as values beside their owner; else each has a file.
+    """
     e, path = events(spark, sf_dir).drop("props"), scratch(spark)
     sinks.write_readings(e, f"{path}/readings")
     readings = ingest.read_samples(spark, f"{path}/readings").select("event_id", F.col("date").cast("string").alias("date"), "value", F.lit("readings").alias("kind"))
@@ -195,14 +199,14 @@ def _file_ingest(spark, sf_dir, owner):
     # a log has 40 entries of which 30 count, a queue its 30 newest
     b = e.withColumn("owner", owner)
     logs = sequences.first_n(b.filter("event_type = 'error'"), "owner", ORDER, 40).groupBy("owner").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(*ORDER))), lambda r: F.struct(r["event_id"].cast("string").alias("m")))).alias("value"))
-    logs.write.partitionBy("owner").text(f"{path}/errors")
-    errors = ingest.read_error_logs(spark, f"{path}/errors").select(F.col("position").cast("long").alias("event_id"), F.lit(None).cast("string").alias("date"), F.lit(None).cast("double").alias("value"), F.lit("errors").alias("kind"))
+    errors = ingest.parse_error_logs(_packed(logs, f"{path}/errors"), "value", ["owner"]) if packed else ingest.read_error_logs(spark, _one_each(logs, f"{path}/errors"))
+    errors = errors.select(F.col("position").cast("long").alias("event_id"), F.lit(None).cast("string").alias("date"), F.lit(None).cast("double").alias("value"), F.lit("errors").alias("kind"))
     snaps = sequences.keep_latest(b.filter("event_type = 'signup'"), "owner", ORDER, 30).groupBy("owner").agg(F.concat(F.lit("["), F.array_join(F.collect_list(body), ","), F.lit("]")).alias("value"))
-    snaps.write.partitionBy("owner").text(f"{path}/buffer")
-    buffer = ingest.read_buffer_snapshots(spark, f"{path}/buffer").select(F.col("timestamp").cast("long").alias("event_id"), F.lit(None).cast("string").alias("date"), F.col("readings.voltage_rms").alias("value"), F.lit("buffer").alias("kind"))
+    buffer = ingest.parse_buffer_snapshots(_packed(snaps, f"{path}/buffer"), "value", ["owner"]) if packed else ingest.read_buffer_snapshots(spark, _one_each(snaps, f"{path}/buffer"))
+    buffer = buffer.select(F.col("timestamp").cast("long").alias("event_id"), F.lit(None).cast("string").alias("date"), F.col("readings.voltage_rms").alias("value"), F.lit("buffer").alias("kind"))
     out = readings.unionByName(rejected).unionByName(errors).unionByName(buffer)
-    sinks.publish_snapshot(out, f"{path}/all")
-    return spark.read.parquet(f"{path}/all")
+    stores.publish_snapshot(out, f"{path}/all")
+    return stores.read_snapshot(spark, f"{path}/all")
 
 
 @query("""
@@ -211,8 +215,8 @@ def _file_ingest(spark, sf_dir, owner):
     SELECT row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) - 1, NULL, NULL, 'errors' FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) <= 30 UNION ALL
     SELECT event_id, NULL, round(value, 1), 'buffer' FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type = 'signup') WHERE k <= 30""")
 def file_ingest(spark, sf_dir):
-    """Devices share logs and queues by bucket: the limit of 30 holds for all devices of one together (file_ingest_by_device has none of that)."""
-    return _file_ingest(spark, sf_dir, F.col("user_id") % 16)
+    """A file for each log and queue, of sixteen gateways that keep them for all of their devices together: the limit of 30 holds for a gateway."""
+    return _file_ingest(spark, sf_dir, F.col("user_id") % 16, packed=False)
 
 
 @query("""
@@ -221,8 +225,8 @@ def file_ingest(spark, sf_dir):
     SELECT row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1, NULL, NULL, 'errors' FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 30 UNION ALL
     SELECT event_id, NULL, round(value, 1), 'buffer' FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type = 'signup') WHERE k <= 30""")
 def file_ingest_by_device(spark, sf_dir):
-    """One error log and one saved queue per device, so that the limit of 30 holds for a device."""
-    return _file_ingest(spark, sf_dir, F.col("user_id"))
+    """One error log and one saved queue per device, so that the limit of 30 holds for a device; many devices' logs lie in one file."""
+    return _file_ingest(spark, sf_dir, F.col("user_id"), packed=True)
 
 
 @query("SELECT user_id, CAST(ts AS DATE)::VARCHAR AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -274,19 +278,61 @@ def _little_endian(c, size: int):
     return F.concat(*[F.substring(h, 2 * size - 1 - 2 * i, 2) for i in range(size)])
 
 
-@query("""
-    WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, floor(epoch(min(ts) OVER (PARTITION BY user_id)))::BIGINT AS start FROM events)
-    SELECT user_id::VARCHAR AS device_id, seq, c.channel::INTEGER AS channel, start + seq AS at, CASE WHEN c.channel = 1 THEN trunc(CAST(0.0123 * value + 0.13 AS FLOAT) * CAST(1000 AS FLOAT))::INTEGER / 1000.0 ELSE 0.0 END AS amps, 'estimated' AS ts_quality
-    FROM n, (VALUES (1), (2), (3), (4), (5), (6)) c(channel) WHERE seq < 40000""")
-def ls01_decode(spark, sf_dir):
-    """Each user's readings as the bytes of offline files (raw blocks of ten), decoded again; a file is followed by a new one, with a start of its own, after every FILE_READINGS."""
+def _ls01_files(spark, sf_dir, mixed=False):
+    """user_id, file, start and content of each user's readings as offline files of blocks of ten; a file is followed by a new one, with a start of its own, after every FILE_READINGS.
+
+    mixed: every other block deflated, and files of some users cut off or with a wrong magic.
+    """
     e = events(spark, sf_dir).withColumns({"ma": _little_endian(scalars.to_milliamps(scalars.amps("value")).bitwiseAND(F.lit(0xFFFF)), 2), "start": F.unix_seconds(F.col("ts").cast("timestamp"))})
     blocks = sequences.pack_blocks(e, "user_id", ORDER, ["ma", "start"])
     body = F.array_join(F.transform("rows", lambda r: F.concat(r["ma"], F.lit("0000" * 5))), "")
-    blocks = blocks.select("user_id", F.floor(F.col("block") * 10 / FILE_READINGS).alias("file"), "block", F.concat(_little_endian(F.col("n_rows") * 12 + 0x8000, 2), body).alias("hex"), F.array_min(F.transform("rows", lambda r: r["start"])).alias("start"))
+    blocks = blocks.select("user_id", F.floor(F.col("block") * 10 / FILE_READINGS).alias("file"), "block", F.unhex(body).alias("body"), F.array_min(F.transform("rows", lambda r: r["start"])).alias("start"))
+    raw = F.lit(True) if not mixed else F.col("block") % 2 == 0
+    data = F.col("body") if not mixed else F.when(raw, F.col("body")).otherwise(deflated("body"))
+    blocks = blocks.withColumn("data", data).withColumn("hex", F.concat(_little_endian(F.octet_length("data") + F.when(raw, 0x8000).otherwise(0), 2), F.hex("data")))
     files = blocks.groupBy("user_id", "file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "hex"))), lambda r: r["hex"]), "").alias("hex"), F.min("start").alias("start"))
-    header = F.concat(F.lit("4C533031"), F.rpad(F.hex(F.encode(F.col("user_id").cast("string"), "UTF-8")), 64, "0"), _little_endian(F.col("start"), 4))
-    files = files.select(F.concat_ws("/", "user_id", "file").alias("path"), F.unhex(F.concat(header, "hex")).alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+    magic = F.lit("4C533031") if not mixed else F.when(F.col("user_id") % 11 == 5, "4C533030").otherwise("4C533031")
+    header = F.concat(magic, F.rpad(F.hex(F.encode(F.col("user_id").cast("string"), "UTF-8")), 64, "0"), _little_endian(F.col("start"), 4))
+    content = F.unhex(F.concat(header, "hex"))
+    if mixed:
+        content = F.when(F.col("user_id") % 7 == 3, F.substring(content, F.lit(1), F.octet_length(content) - 5)).otherwise(content)
+    return files.select("user_id", "file", "start", content.alias("content"))
+
+
+@F.pandas_udf(BinaryType())
+def deflated(bodies: pd.Series) -> pd.Series:
+    def one(body: bytes) -> bytes:
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        return c.compress(body) + c.flush()
+
+    return bodies.map(one)
+
+
+_READINGS_SQL = """
+    WITH s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events),
+    n AS (SELECT *, seq // 40000 AS file, floor(epoch(min(ts) OVER (PARTITION BY user_id, seq // 40000)))::BIGINT AS start, max(seq) OVER (PARTITION BY user_id, seq // 40000) // 10 AS last_block FROM s)"""
+_AMPS_SQL = "CASE WHEN c.channel = 1 THEN trunc(CAST(0.0123 * value + 0.13 AS FLOAT) * CAST(1000 AS FLOAT))::INTEGER / 1000.0 ELSE 0.0 END AS amps"
+
+
+@query(f"""{_READINGS_SQL}
+    SELECT user_id::VARCHAR AS device_id, seq, c.channel::INTEGER AS channel, start + seq % 40000 AS at, {_AMPS_SQL}, 'estimated' AS ts_quality
+    FROM n, (VALUES (1), (2), (3), (4), (5), (6)) c(channel)""")
+def ls01_decode(spark, sf_dir):
+    """Each user's readings as the bytes of offline files (raw blocks of ten), decoded again."""
+    files = _ls01_files(spark, sf_dir).select(F.concat_ws("/", "user_id", "file").alias("path"), "content").withColumn("length", F.octet_length("content").cast("long"))
     rows = ls01.offline_readings(ls01.decode(quality.gate_offline_files(files)))
     before = F.substring_index("path", "/", -1).cast("long") * FILE_READINGS
     return rows.select("device_id", (F.col("seq") + before).alias("seq"), F.col("channel").cast("int").alias("channel"), F.unix_seconds("ts").alias("at"), "amps", "ts_quality")
+
+
+@query(f"""{_READINGS_SQL}
+    SELECT user_id::VARCHAR AS device_id, start AS file_start, seq % 40000 AS seq, c.channel::INTEGER AS channel, start + seq % 40000 AS at, {_AMPS_SQL}
+    FROM n, (VALUES (1), (2), (3), (4), (5), (6)) c(channel) WHERE user_id % 11 <> 5 AND NOT (user_id % 7 = 3 AND seq // 10 = last_block)""")
+def ls01_files(spark, sf_dir):
+    """Offline files of raw and deflated blocks on storage, one per user and start, read by the binaryFile source; files with a wrong magic are set aside, and those that are cut off give what comes before the cut."""
+    path = scratch(spark)
+    # a text file of one row is its bytes and a line end, which is too short for another block
+    _ls01_files(spark, sf_dir, mixed=True).select(F.col("content").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
+    _, blocks = ls01.read_ls01(spark, path)
+    rows = ls01.offline_readings(blocks.filter("NOT damaged"), keep=["start_epoch"])
+    return rows.select("device_id", F.col("start_epoch").alias("file_start"), "seq", F.col("channel").cast("int").alias("channel"), F.unix_seconds("ts").alias("at"), "amps")

@@ -76,11 +76,35 @@ def read_buffer_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("_corrupt IS NULL").filter(non_stub(F.to_json(F.struct("device_id", "timestamp", "readings")))).drop("_corrupt")
 
 
+def parse_buffer_snapshots(df: DataFrame, json_col: str, keep: list[str] | None = None) -> DataFrame:
+    """Readings of saved queues that are values of a column, as where many devices' queues lie in one file; queues that don't parse and stubs are left out."""
+    queue = F.from_json(F.col(json_col), f"array<struct<{', '.join(part.strip().replace(' ', ': ', 1) for part in fields(schemas.READING))}>>", PERMISSIVE)
+    rows = df.select(*(keep or []), F.explode(queue).alias("_q")).select(*(keep or []), "_q.*")
+    return rows.filter(non_stub(F.to_json(F.struct("device_id", "timestamp", "readings"))))
+
+
+def fields(ddl: str) -> list[str]:
+    """The fields of a DDL list, with what is nested in them."""
+    out, depth = [""], 0
+    for c in ddl:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
 def read_error_logs(spark: SparkSession, path: str, most: int = 30) -> DataFrame:
-    """Saved error logs: file, position, timestamp, message; missing fields are "", of a file the first `most` entries count."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", schemas.ERRORS, PERMISSIVE).alias("_e"))
-    out = files.select("file", F.posexplode(F.slice("_e", 1, most)).alias("position", "_e"))
-    return out.select("file", "position", F.coalesce("_e.t", F.lit("")).alias("timestamp"), F.coalesce("_e.m", F.lit("")).alias("message"))
+    """Saved error logs, one per file: file, position, timestamp, message; see parse_error_logs."""
+    return parse_error_logs(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"), "value", ["file"], most)
+
+
+def parse_error_logs(df: DataFrame, json_col: str, keep: list[str] | None = None, most: int = 30) -> DataFrame:
+    """Entries of error logs that are values of a column: keep, position, timestamp, message; missing fields are "", of a log the first `most` entries count."""
+    logs = df.select(*(keep or []), F.from_json(F.col(json_col), schemas.ERRORS, PERMISSIVE).alias("_e"))
+    out = logs.select(*(keep or []), F.posexplode(F.slice("_e", 1, most)).alias("position", "_e"))
+    return out.select(*(keep or []), "position", F.coalesce("_e.t", F.lit("")).alias("timestamp"), F.coalesce("_e.m", F.lit("")).alias("message"))
 
 
 def read_rejected(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Offline files of devices: a header, then blocks of readings, raw or deflated.
 
 Files come by Spark's binaryFile source; a file is the unit of parallelism and is at most some
-550 KB, by the devices' own limit. Decoding is a small Arrow map, all that follows is DataFrame work.
+550 KB, by the devices' own limit. Decoding is a table function, all that follows is DataFrame work.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,26 +37,32 @@ def blocks_of(content: bytes) -> Iterator[tuple[int, int, bytes | None]]:
         yield size, bool(flags & RAW), body
 
 
+class Blocks:
+    """Table function over a file's content: its blocks, with the device and the start of its header."""
+
+    def eval(self, content: bytes):
+        device = content[4:36].split(b"\0")[0].decode("utf-8", "replace")
+        (epoch,) = struct.unpack_from("<I", content, 36)
+        seq = 0
+        for k, (size, raw, body) in enumerate(blocks_of(content)):
+            n = len(body or b"") // (2 * CHANNELS)
+            values = struct.unpack(f"<{n * CHANNELS}h", body or b"")
+            ma = [list(values[i : i + CHANNELS]) for i in range(0, len(values), CHANNELS)]
+            yield device, epoch, k, seq, n, raw, len(body or b""), size, ma, body is None
+            seq += n
+
+
+BLOCK = "device_id string, start_epoch long, block int, first_seq long, readings int, raw boolean, raw_bytes long, data_bytes long, ma array<array<int>>, damaged boolean"
+
+
 def decode(files: DataFrame) -> DataFrame:
-    """Blocks of gated files: path, device_id, start_epoch, block, first_seq, readings, raw, raw_bytes, data_bytes, ma (array of readings of six milliamps), damaged."""
-    schema = "path string, device_id string, start_epoch long, block int, first_seq long, readings int, raw boolean, raw_bytes long, data_bytes long, ma array<array<int>>, damaged boolean"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.bool_()]
-        for batch in batches:
-            for path, data in zip(batch.column(0), batch.column(1)):
-                content, rows, seq = data.as_py(), [], 0
-                device = content[4:36].split(b"\0")[0].decode("utf-8", "replace")
-                (epoch,) = struct.unpack_from("<I", content, 36)
-                for k, (size, raw, body) in enumerate(blocks_of(content)):
-                    n = len(body or b"") // (2 * CHANNELS)
-                    values = struct.unpack(f"<{n * CHANNELS}h", body or b"")
-                    rows.append((path.as_py(), device, epoch, k, seq, n, raw, len(body or b""), size, [list(values[i : i + CHANNELS]) for i in range(0, len(values), CHANNELS)], body is None))
-                    seq += n
-                cols = list(zip(*rows)) or [()] * len(types)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [p.split()[0] for p in "path,device_id,start_epoch,block,first_seq,readings,raw,raw_bytes,data_bytes,ma,damaged".split(",")])
-
-    return files.filter("status = 'ok'").select("path", "content").mapInArrow(run, schema)
+    """Blocks of gated files, by a lateral join with the table function: path, device_id, start_epoch, block, first_seq, readings, raw, raw_bytes, data_bytes, ma (array of readings of six milliamps), damaged.
+
+    A block that can't be read or is cut off has no readings and ends its file; what came before stays.
+    """
+    good = files.filter("status = 'ok'").select("path", "content")
+    blocks = F.udtf(Blocks, returnType=BLOCK, useArrow=True)
+    return good.lateralJoin(blocks(F.col("content").outer())).drop("content")
 
 
 def read_ls01(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -66,12 +71,12 @@ def read_ls01(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return files.drop("content"), decode(files)
 
 
-def offline_readings(blocks: DataFrame, interval_s: int = 1, volts: float = 230.0) -> DataFrame:
-    """Channel rows of decoded blocks: device_id, seq, ts, ts_quality, channel, amps, watts, ma_wrapped.
+def offline_readings(blocks: DataFrame, interval_s: int = 1, volts: float = 230.0, keep: list[str] | None = None) -> DataFrame:
+    """Channel rows of decoded blocks: path, device_id, seq, ts, ts_quality, channel, amps, watts, ma_wrapped, and columns of the block to keep.
 
     A file has one time, its start; later outages of the same file go on without a new one, so all
     times are estimates. Milliamps that wrapped are set right and flagged.
     """
     rows = blocks.select("path", "device_id", "start_epoch", "first_seq", F.posexplode("ma").alias("_i", "_ma"))
     rows = rows.select("path", "device_id", "start_epoch", (F.col("first_seq") + F.col("_i")).alias("seq"), F.posexplode("_ma").alias("_c", "ma"))
-    return rows.select("path", "device_id", "seq", offline_ts("start_epoch", "seq", interval_s).alias("ts"), offline_quality("start_epoch").alias("ts_quality"), (F.col("_c") + 1).alias("channel"), from_milliamps("ma").alias("amps"), ma_wrapped("ma").alias("ma_wrapped")).withColumn("watts", watts(volts, "amps"))
+    return rows.select("path", "device_id", *(keep or []), "seq", offline_ts("start_epoch", "seq", interval_s).alias("ts"), offline_quality("start_epoch").alias("ts_quality"), (F.col("_c") + 1).alias("channel"), from_milliamps("ma").alias("amps"), ma_wrapped("ma").alias("ma_wrapped")).withColumn("watts", watts(volts, "amps"))

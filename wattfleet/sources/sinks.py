@@ -1,21 +1,11 @@
-"""Sinks; Spark's output committer is what writing to a temporary file and renaming it was."""
+"""The plain sink of readings; stores that are written to again and again are in sources.stores, the stream's in streaming.late."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattfleet.functions.quality import dead_letter
-
 
 def write_readings(df: DataFrame, path: str, ts: str = "ts") -> None:
     """Appends readings by date; rows of a date are gathered first, so that each has few files, but a large one is split over tasks."""
     df.withColumn("date", F.to_date(ts)).hint("rebalance", "date").write.partitionBy("date").mode("append").parquet(path)
-
-
-def publish_snapshot(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
-def write_dead_letters(df: DataFrame, path: str, key: str, order: str, text: str, cap: int = 50_000) -> None:
-    dead_letter(df, key, order, text, cap).write.partitionBy(key).mode("append").parquet(path)

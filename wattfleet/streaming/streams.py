@@ -1,18 +1,14 @@
-"""Streaming forms: latest by key, de-duplication, late data, and folds with keyed state.
+"""Streaming forms: latest by key, de-duplication, sessions and late data; state machines are in event_time.
 
 Each has a batch counterpart with the same result; tests run the stream with availableNow and compare.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from wattfleet.operators.sequences import connection_step, phase_step, stability_step
 
 
 def latest_by_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -46,51 +42,3 @@ def silent_devices(df: DataFrame, key: str, ts: str, gap: str, least: int = 1) -
     """Stretches of reports without a gap: start, end, reports; a device is silent between them."""
     out = df.groupBy(F.session_window(ts, gap).alias("_s"), key).agg(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), F.count("*").alias("reports"))
     return out.filter(F.col("reports") >= least).select(key, "first_seen", "last_seen", "reports")
-
-
-def fold_stream(df: DataFrame, key: str, order: list[str], inputs: list[str], start: Callable[[], tuple], step: Callable, state_schema: str, outputs: str, schema: str) -> DataFrame:
-    """The streaming form of sequences.fold: each micro-batch's rows of a key are folded in order, on the state kept so far.
-
-    Rows must not come later than rows of an earlier micro-batch; state is one small row per key.
-    """
-    names = [part.split()[0] for part in outputs.split(",")]
-
-    def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else start()
-        rows = pd.concat(list(batches)).sort_values(order)
-        found = []
-        for x in rows[inputs].itertuples(index=False, name=None):
-            now, new = step(now, *x)
-            found.append(new)
-        state.update(now)
-        for i, n in enumerate(names):
-            rows[n] = pd.Series([f[i] for f in found], index=rows.index, dtype=object)
-        yield rows
-
-    return df.groupBy(key).applyInPandasWithState(run, f"{schema}, {outputs}", state_schema, "append", GroupStateTimeout.NoTimeout)
-
-
-def throttle_stream(df: DataFrame, key: str, order: list[str], at: str, gap: int, schema: str) -> DataFrame:
-    """Streaming throttle: kept as in sequences.throttle without an anchor."""
-
-    def step(state, now):
-        (last,) = state
-        keep = last is None or now - last >= gap
-        return (int(now) if keep else last,), (keep,)
-
-    return fold_stream(df, key, order, [at], lambda: (None,), step, "last long", "kept boolean", schema)
-
-
-def stability_stream(df: DataFrame, key: str, order: list[str], updated: str, crashed: str, schema: str, limit: int = 3) -> DataFrame:
-    """Streaming update stability: verdict as in sequences.update_stability."""
-    return fold_stream(df, key, order, [updated, crashed], lambda: (False, 0), stability_step(limit), "fresh boolean, crashes long", "verdict string", schema)
-
-
-def phase_slots_stream(df: DataFrame, key: str, order: list[str], at: str, interval: int, schema: str, start: int = 0) -> DataFrame:
-    """Streaming phase slots: slot and resynced as in sequences.phase_slots."""
-    return fold_stream(df, key, order, [at], lambda: (start,), phase_step(interval), "slot long", "slot long, resynced boolean", schema)
-
-
-def connection_stream(df: DataFrame, key: str, order: list[str], at: str, kind: str, grace: int, schema: str, failures: int = 5) -> DataFrame:
-    """Streaming connection state: state as in sequences.connection_state."""
-    return fold_stream(df, key, order, [at, kind], lambda: ("online", None, 0, False), connection_step(grace, failures), "mode string, since long, run long, pending boolean", "state string", schema)
