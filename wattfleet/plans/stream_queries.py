@@ -1,6 +1,6 @@
 """Streams fed in several micro-batches, and stores that several jobs add to; their SQL is that of one pass over all rows.
 
-Each stream is stopped after every slice of the table and started again from its checkpoint.
+A stream runs while slices of the table come one after the other.
 """
 
 from collections.abc import Callable
@@ -34,10 +34,16 @@ def out_of_order(rows: DataFrame, us: str = "us", ticks: int = 1) -> list[DataFr
 
 def fed(spark: SparkSession, slices: list[DataFrame], start: Callable[[DataFrame, str], DataStreamWriter]) -> str:
     """Runs a stream over slices that come one after the other; start(stream, folder) says what becomes of them. The folder."""
-    path, schema = scratch(spark), slices[0].schema
-    for s in slices:
-        s.write.mode("append").parquet(f"{path}/in")
-        start(spark.readStream.schema(schema).parquet(f"{path}/in"), path).trigger(availableNow=True).start().awaitTermination()
+    path, running = scratch(spark), None
+    try:
+        for s in slices:
+            s.write.mode("append").parquet(f"{path}/in")
+            if running is None:
+                running = start(spark.readStream.schema(s.schema).parquet(f"{path}/in"), path).start()
+            running.processAllAvailable()
+    finally:
+        if running is not None:
+            running.stop()
     return path
 
 
