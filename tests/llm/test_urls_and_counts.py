@@ -41,9 +41,19 @@ def test_any_pattern_on_null(spark, max_sent):
     assert {r.verdict for r in judge_urls(df, [pattern_rule("*")], max_sent=max_sent).collect()} == {"block"}
 
 
+def test_line_ends_and_random_patterns_alike(spark):
+    rng = random.Random(3)
+    rules = [pattern_rule("/x|"), pattern_rule("|http://a.com/y|"), *(pattern_rule("".join(rng.choice("ab/.*^|é") for _ in range(rng.randrange(1, 6)))) for _ in range(40))]
+    ends = ["", "\r", "\n", "\r\n", "\x85", "\u2028", "\u2029", " "]
+    urls = [None, *(f"http://a.com/{p}{e}" for p in "xy" for e in ends), *("http://" + "".join(rng.choice("aAbB/.?é\n\r\u2028") for _ in range(rng.randrange(12))) for _ in range(150))]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    verdicts = [[(r.page_id, r.rule, r.verdict) for r in judge_urls(df, rules, max_sent=m).orderBy("page_id").collect()] for m in (1 << 20, 0)]
+    assert verdicts[0] == verdicts[1] and len({v for *_, v in verdicts[0]}) == 2
+
+
 def test_only_candidates_run():
-    i = TokenIndex([(r, r.tokens[0] if r.tokens else None) for r in RULES])
-    assert {r[0].text for r in i.always} == {"track"}
+    i = TokenIndex(tuple((r, r.tokens[0] if r.tokens else None) for r in RULES))
+    assert {r.text for r in i.always} == {"track"}
     assert i.decide("x.org/", "http://x.org/") is None
 
 

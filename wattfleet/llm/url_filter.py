@@ -7,12 +7,12 @@ cut into tokens once; only the rules filed under one of them run their expressio
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,8 @@ from wattfleet.llm.common import LOWER, UPPER
 
 #: Bytes of rule text that are sent to every task at most; longer lists are joined token by token instead.
 MAX_SENT = 16 << 20
+#: Groups of URLs that meet the rules without a token.
+SPREAD = 64
 _TOKENS = re.compile("[a-z0-9]+")
 
 
@@ -86,24 +88,36 @@ def rarest_tokens(urls: DataFrame, rules: list[Rule]) -> dict[Rule, str | None]:
     return {r: min(r.tokens, key=lambda t: (counts.get(t, 0), -len(t), t), default=None) for r in rules}
 
 
+@lru_cache(maxsize=4096)
+def compiled(expression: str) -> re.Pattern:
+    return re.compile(expression, re.S)
+
+
 class TokenIndex:
-    """Rules by token; verdict of one URL."""
+    """Rules by token; verdict of one URL. An expression is compiled when one of its rule's tokens is first met."""
 
-    def __init__(self, filed: list[tuple[Rule, str | None]]):
-        self.by: dict[str, list[tuple]] = {}
-        self.always: list[tuple] = []
+    def __init__(self, filed: tuple[tuple[Rule, str | None], ...]):
+        self.by: dict[str, list[Rule]] = {}
+        self.always: list[Rule] = []
         for r, token in filed:
-            (self.by.setdefault(token, []) if token else self.always).append((r, re.compile(r.expression, re.S)))
+            (self.by.setdefault(token, []) if token else self.always).append(r)
 
     def decide(self, place: str, url: str) -> Rule | None:
-        rules = [*self.always, *(x for t in set(_TOKENS.findall(url)) & self.by.keys() for x in self.by[t])]
-        fits = [r for r, e in rules if e.search(place if r.where == "place" else url)]
+        rules = [*self.always, *(r for t in set(_TOKENS.findall(url)) & self.by.keys() for r in self.by[t])]
+        fits = [r for r in rules if compiled(r.expression).search(place if r.where == "place" else url)]
         return max(fits, key=lambda r: (r.rank, r.text), default=None)
 
 
-@lru_cache(maxsize=2)
-def index(filed: tuple[tuple[Rule, str | None], ...]) -> TokenIndex:
-    return TokenIndex(list(filed))
+_indexes: dict[str, TokenIndex] = {}
+
+
+def index(name: str, filed: tuple[tuple[Rule, str | None], ...]) -> TokenIndex:
+    """One for each worker and list of rules, of which two are kept; name: a digest of the list, made once."""
+    if name not in _indexes:
+        if len(_indexes) > 1:
+            del _indexes[next(iter(_indexes))]
+        _indexes[name] = TokenIndex(filed)
+    return _indexes[name]
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", default: str = "allow", max_sent: int = MAX_SENT) -> DataFrame:
@@ -112,18 +126,18 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", defaul
     Of the rules that fit, the one with the largest rank decides, by text in ties; without any the
     verdict is `default`. A null URL, or one without ://, has empty host and path; patterns are still
     tried on it, on a null one as on the empty text. Columns of pages with the added names are replaced. Repeated rows get the
-    same verdict; an empty table gives no rows. Rule lists of up to max_sent bytes go to every task;
-    longer ones become a table, joined with the URLs' tokens.
+    same verdict; an empty table gives no rows, and a very long URL is judged whole. Rule lists of up to
+    max_sent bytes go to every task; longer ones become a table, joined with the URLs' tokens. The
+    same expressions run by the same engine on either way.
     """
     parts = parsed(F.col(url_col))
     filed = tuple(rarest_tokens(pages.select(parts["_url"].alias("_url")), rules).items())
     if sum(len(r.text) + len(r.expression) for r in rules) <= max_sent:
+        name = hashlib.sha256(repr(filed).encode()).hexdigest()
 
         @F.pandas_udf("struct<rule string, verdict string>")
         def decide(host, path, url):
-            import pandas as pd
-
-            i = index(filed)
+            i = index(name, filed)
             found = [i.decide(h + p, u) for h, p, u in zip(host, path, url)]
             return pd.DataFrame({"rule": [r.text if r else None for r in found], "verdict": [r.verdict if r else default for r in found]}, dtype=object)
 
@@ -138,8 +152,19 @@ def _joined(pages: DataFrame, filed: tuple[tuple[Rule, str | None], ...], parts:
     table = spark.createDataFrame([(t or "", r.text, r.verdict, r.expression, r.where, r.rank) for r, t in filed], "_token string, _text string, _verdict string, _expression string, _where string, _rank long")
     key = F.coalesce(F.col(url_col), F.lit(""))
     urls = pages.select(key.alias("_key"), *[c.alias(n) for n, c in parts.items()]).distinct()
-    tokens = urls.withColumn("_token", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.split("_url", "[^a-z0-9]+")))))
-    fits = tokens.join(table, "_token").filter(F.expr("CASE WHEN _where = 'place' THEN concat(_host, _path) ELSE _url END RLIKE concat('(?s)', _expression)"))
+    tokens = F.split("_url", "[^a-z0-9]+")
+    if any(not t for _, t in filed):
+        # rules without a token meet every URL; these are dealt out, for no token is as frequent
+        tokens = F.concat(F.array(F.concat(F.lit("#"), F.pmod(F.xxhash64("_key"), F.lit(SPREAD)).cast("string"))), tokens)
+        every = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda i: F.concat(F.lit("#"), i.cast("string"))))
+        table = table.filter("_token != ''").union(table.filter("_token = ''").withColumn("_token", every))
+
+    @F.pandas_udf("boolean")
+    def found(expression: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([compiled(e).search(t) is not None for e, t in zip(expression, text)], dtype=bool)
+
+    met = urls.withColumn("_token", F.explode(F.array_distinct(tokens))).join(table, "_token")
+    fits = met.filter(found("_expression", F.when(F.col("_where") == "place", F.concat("_host", "_path")).otherwise(F.col("_url"))))
     best = fits.groupBy(F.col("_key").alias("__uf_key")).agg(F.max(F.struct("_rank", "_text", "_verdict")).alias("__uf"))
     out = pages.join(best, key == F.col("__uf_key"), "left")
     return out.withColumns({"host": parts["_host"], "path": parts["_path"], "rule": F.col("__uf._text"), "verdict": F.coalesce("__uf._verdict", F.lit(default))}).drop("__uf", "__uf_key")
