@@ -110,3 +110,17 @@ def test_packing_and_run(spark, steps):
     total = pieces.agg(F.sum("length")).first()[0]
     assert pieces.agg(F.max("sequence_id")).first()[0] == (total - 1) // 2048
     assert cp.run(spark, SF).agg(F.sum("length")).first()[0] <= total
+
+
+CLASHES = ["score", "lang_pred", "spans", "_id", "_key", "_text", "__row", "kept", "keep_id", "component_id", "removed_spans", "n_removed", "_h", "position", "a b", "n"]
+
+
+def test_columns_of_any_name_go_along(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in CLASHES})
+    rows = {r.doc_id: r for r in docs.collect()}
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        assert out.columns == docs.columns and got, name
+        assert all(r[c] == rows[r.doc_id][c] for r in got for c in CLASHES), name
+    assert cp.packing(spark, docs, SF).count() >= 60

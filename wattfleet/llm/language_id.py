@@ -17,6 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 UNKNOWN = "und"
 CACHED = 250_000
@@ -241,8 +242,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", penalty: floa
                 cols += [pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))] if with_spans else []
                 yield pa.RecordBatch.from_arrays(cols, [*names, "lang_pred", "score", *["spans"] * with_spans])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[:-1]] + ["lang_pred string", "score double", *["spans array<struct<start:int,end:int,lang:string>>"] * with_spans]
-    return slim.mapInArrow(run, ", ".join(kinds))
+    spans = StructField("spans", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("lang", StringType())])))
+    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), *[spans] * with_spans]
+    return slim.mapInArrow(run, StructType([*slim.schema.fields[:-1], *added]))
 
 
 def held_out(id_col: str = "doc_id"):
