@@ -27,10 +27,13 @@ LEAST_SHARE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a known language; a missing lang is filled in. Texts that are null or without letters go; repeated rows share their verdict, an empty table stays empty."""
-    names = docs.columns
-    out = language_id.predict(docs, language_id.fit(docs)).filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
-    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(names)
+    """Keeps documents in a known language; a missing lang is filled in. Texts that are null or without letters go; repeated rows share their verdict, an empty table stays empty. Columns of any name go along untouched."""
+    model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    # a row is one column here, so that no column of the user's meets one of the prediction's
+    out = language_id.predict(docs.select(F.struct("*").alias("__row")), model, text_col="__row.text", keep=["__row"])
+    out = out.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    lang = F.coalesce("__row.lang", "lang_pred")
+    return out.select(*[(lang if c == "lang" else F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
