@@ -1,7 +1,7 @@
 """Sequence semantics per device: frames and islands as window functions, recurrences as a fold.
 
-Everything is keyed, so chained operators on one key share a shuffle. A fold streams over rows
-sorted by key and order with constant state: no group is ever held in memory, and a device with
+Everything is keyed, so chained window operators on one key share a shuffle. A fold is dealt out by
+its key anew, then streams over rows sorted by key and order with constant state: no group is ever held in memory, and a device with
 very many rows is a long run of rows, not a large object.
 """
 
