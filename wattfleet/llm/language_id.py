@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -166,12 +166,12 @@ class Labeller:
         return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 20_000, max_grams: int = 50_000) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 20_000) -> Model:
     """Learns from labelled documents: those with a text and a lang.
 
-    Bounds: if there are more than max_docs, only those are counted whose hash of identifier and
-    text falls into the first max_docs / count of its range, so about max_docs; and of each
-    language's trigrams the max_grams most frequent are kept, so that none is starved by another.
+    Bound: if there are more than max_docs, only those are counted whose hash of identifier and text
+    falls into the first max_docs / count of its range, so about max_docs. All of their trigrams
+    count (on sf0.1 no language has 3,000 different ones).
     """
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
     n = rows.count()
@@ -200,10 +200,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         n.clear()
 
     counted = rows.select("text", "lang").mapInArrow(count, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    kept = counted.withColumn("nth", F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "key"))).filter(F.col("nth") <= max_grams)
     counts: dict[str, dict[str, int]] = {}
     scripts: dict[str, dict[str, int]] = {}
-    for r in kept.collect():
+    for r in counted.collect():
         (scripts if r.kind == "script" else counts).setdefault(r.lang, {})[r.key] = r.n
     return Model({lang: counts.get(lang, {}) for lang in scripts}, scripts)
 
