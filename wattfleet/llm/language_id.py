@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from wattfleet.llm.fragments import sliced
+
 UNKNOWN = "und"
-CACHED = 250_000
+#: Different words of the sample that are counted before their trigrams are, and code points that are scored at a time.
+CACHED, PIECE = 250_000, 1 << 18
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Ranges of code points by script; what lies in none counts as "other".
 SCRIPTS = [
@@ -43,12 +47,6 @@ def scripts_of(words: list[str]) -> np.ndarray:
     return _FROM[np.searchsorted(_EDGES, [ord(w[0]) for w in words], "right") - 1]
 
 
-def words_of(token: str) -> list[str]:
-    """The words of a run without white space, most of which are one word and sentence marks."""
-    bare = token.rstrip(".,;:!?")
-    return [bare] if bare.isalpha() else _WORD.findall(token)
-
-
 def grams(word: str) -> list[str]:
     """Trigrams of the word between word ends."""
     w = f"^{word.lower()}$"
@@ -77,9 +75,12 @@ class Model:
             return np.zeros((0, len(self.langs)), np.float32)
         get, each = self.row.get, [grams(w) for w in words]
         rows = np.array([get(g, -1) for gs in each for g in gs])
-        starts = np.cumsum([0, *map(len, each[:-1])])
+        return self.narrowed(rows, np.cumsum([0, *map(len, each[:-1])]), scripts_of(words))
+
+    def narrowed(self, rows: np.ndarray, starts: np.ndarray, scripts: np.ndarray) -> np.ndarray:
+        """The same from the rows of all words' trigrams, where each word's start, and the words' scripts."""
         s = np.add.reduceat(self.logp[rows], starts, 0)
-        may = self.may[scripts_of(words)]
+        may = self.may[scripts]
         s = np.where(may, s, -np.inf)
         best = s.max(1, keepdims=True)
         return np.where(may.any(1, keepdims=True), np.maximum(s - np.where(np.isfinite(best), best, 0), -30), 0).astype(np.float32)
@@ -88,84 +89,149 @@ class Model:
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
     """Best labels [T, B] for scores [T, B, L]; columns end at lengths, what lies beyond is to be ignored."""
     steps, b, n = scores.shape
-    stay, best = np.empty((steps, b, n), bool), np.empty((steps, b), np.int16)
-    v, cols = np.zeros((b, n), np.float32), np.arange(b)
+    by_lang = np.ascontiguousarray(scores.transpose(0, 2, 1))
+    stay, best = np.empty((steps, n, b), bool), np.zeros((steps, b), np.int16)
+    v, cols = np.zeros((n, b), np.float32), np.arange(b)
+
+    def leading(into: np.ndarray) -> np.ndarray:
+        """The largest of each column; into gets its language, the first in ties."""
+        top = v[0].copy()
+        for j in range(1, n):
+            into[v[j] > top] = j
+            np.maximum(top, v[j], out=top)
+        return top
+
     for t in range(steps):
-        best[t] = v.argmax(1)
-        jump = (v[cols, best[t]] - penalty)[:, None]
-        stay[t] = v >= jump
-        v = np.where(stay[t], v, jump) + scores[t]
-        v -= v.max(1)[:, None]
-    labels = np.empty((steps, b), np.int16)
-    now = v.argmax(1)
+        v -= leading(best[t])
+        # the best label now counts 0, so a switch to any other starts at the penalty
+        np.greater_equal(v, np.float32(-penalty), out=stay[t])
+        np.maximum(v, np.float32(-penalty), out=v)
+        v += by_lang[t]
+    labels, now = np.empty((steps, b), np.int16), np.zeros(b, np.int16)
+    leading(now)
     for t in range(steps - 1, -1, -1):
         labels[t] = now
-        now = np.where(stay[t, cols, now], now, best[t])
+        now = np.where(stay[t, now, cols], now, best[t])
     return labels
 
 
+@lru_cache(maxsize=1)
+def characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: 1 for letters and 2 for marks; its lower case; whether that depends on what stands around it or is several code points."""
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    all_ = "".join(map(chr, points))
+    kind, lower, odd = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, bool)
+    for number, runs in ((1, regex.finditer(r"\p{L}+", all_)), (2, regex.finditer(r"\p{M}+", all_))):
+        for m in runs:
+            kind[points[m.start()] : points[m.end() - 1] + 1] = number
+    for c in np.flatnonzero(kind).tolist():
+        low = chr(c).lower()
+        lower[c], odd[c] = ord(low[0]), len(low) > 1 or low == "\u03c3"
+    return kind, lower, odd
+
+
 class Labeller:
-    """Labels batches of texts; one for each task. Runs without white space are looked up in a bounded table."""
+    """Labels batches of texts by array work on their code points; one for each task."""
 
     def __init__(self, model: Model, penalty: float):
         self.model, self.penalty = model, penalty
-        self.reset()
-
-    def reset(self) -> None:
-        self.tokens: dict[str, int] = {}
-        self.rows: dict[str, int] = {}
-        self.table = np.zeros((0, len(self.model.langs)), np.float32)
-        # of every token: its first place in word_rows and word_sizes, and how many words it has
-        self.first, self.count, self.word_rows, self.word_sizes = (np.zeros(0, np.int32) for _ in range(4))
-
-    def learn(self, new: list[str]) -> None:
-        each = [words_of(t) for t in new]
-        flat = [w for ws in each for w in ws]
-        fresh = list(dict.fromkeys(w for w in flat if w not in self.rows))
-        self.rows.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh))))
-        self.table = np.concatenate([self.table, self.model.scores(fresh)])
-        count = np.array([len(ws) for ws in each], np.int32)
-        self.tokens.update(zip(new, range(len(self.tokens), len(self.tokens) + len(new))))
-        self.first = np.concatenate([self.first, len(self.word_rows) + np.cumsum(count, dtype=np.int32) - count])
-        self.count = np.concatenate([self.count, count])
-        self.word_rows = np.concatenate([self.word_rows, np.array([self.rows[w] for w in flat], np.int32)])
-        self.word_sizes = np.concatenate([self.word_sizes, np.array([len(w) for w in flat], np.int32)])
-
-    def words(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows in the table and letters of every word."""
-        at = np.fromiter(map(self.tokens.__getitem__, tokens), np.int32, len(tokens))
-        n = self.count[at]
-        place = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return self.word_rows[place], self.word_sizes[place]
+        known = sorted({c for g in model.row for c in g} - {"^", "$"})
+        # classes of code points: 0 for what no trigram holds, 1 and 2 for word ends
+        self.classes = len(known) + 3
+        numbers = {"^": 1, "$": 2, **{c: i for i, c in enumerate(known, 3)}}
+        kind, lower, odd = characters()
+        by_lower = np.zeros(0x110000, np.int64)
+        by_lower[[ord(c) for c in known]] = np.arange(3, self.classes)
+        self.kind, self.odd, self.cls = kind, odd, by_lower[lower]
+        codes = np.array([(numbers[g[0]] * self.classes + numbers[g[1]]) * self.classes + numbers[g[2]] for g in model.row], np.int64)
+        order = np.argsort(codes)
+        self.codes, self.rows = codes[order], np.array(list(model.row.values()), np.int64)[order]
+        self.dense = None
+        if self.classes**3 <= 1 << 22:
+            self.dense = np.full(self.classes**3, -1, np.int32)
+            self.dense[codes] = list(model.row.values())
+
+    def trigram_rows(self, code: np.ndarray) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense[code]
+        if not len(self.codes):
+            return np.full(len(code), -1)
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.rows[at], -1)
+
+    def words(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words start and end: a letter, with the letters and marks that follow."""
+        kind = self.kind[codes]
+        inside = np.concatenate([[False], kind > 0, [False]])
+        begin, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+        letters = np.append(np.flatnonzero(kind == 1), len(codes))
+        begin = letters[np.searchsorted(letters, begin)]
+        some = begin < end
+        return begin[some], end[some]
+
+    def scores(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Scores of words, some PIECE code points at a time."""
+        out, a = [np.zeros((0, len(self.model.langs)), np.float32)], 0
+        while a < len(begin):
+            b = max(a + 1, int(np.searchsorted(end, begin[a] + PIECE, "right")))
+            low = int(begin[a])
+            start, stop = begin[a:b] - low, end[a:b] - low
+            part = codes[low : low + stop[-1]]
+            if self.odd[part].any():
+                text = part.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+                out.append(self.model.scores([text[i:j] for i, j in zip(start.tolist(), stop.tolist())]))
+            else:
+                now = self.cls[part]
+                before, after = np.append(1, now[:-1]), np.append(now[1:], 2)
+                before[start], after[stop - 1] = 1, 2
+                size = stop - start
+                ends = np.cumsum(size)
+                at = np.arange(ends[-1]) + np.repeat(start - (ends - size), size)
+                rows = self.trigram_rows((before[at] * self.classes + now[at]) * self.classes + after[at])
+                out.append(self.model.narrowed(rows, ends - size, _FROM[np.searchsorted(_EDGES, part[start], "right") - 1]))
+            a = b
+        return np.concatenate(out)
 
     def label(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text the label and the letters of every word."""
-        tokens = [(t or "").split() for t in texts]
-        new = set().union(*tokens) - self.tokens.keys()
-        if len(self.tokens) + len(new) > CACHED:
-            self.reset()
-            new = set().union(*tokens)
-        self.learn(list(new))
-        found = [self.words(t) for t in tokens]
-        out: list = [(np.zeros(0, np.int16), s) for _, s in found]
-        order = sorted((i for i in range(len(found)) if len(found[i][0])), key=lambda i: len(found[i][0]))
-        at = 0
-        while at < len(order):  # texts of like length together, of some 4 million scores at most
-            end = at + 1
-            while end < len(order) and len(found[order[end]][0]) * (end + 1 - at) * len(self.model.langs) <= 4_000_000:
-                end += 1
-            some = order[at:end]
-            lengths = np.array([len(found[i][0]) for i in some])
-            scores = np.zeros((lengths[-1], len(some), len(self.model.langs)), np.float32)
-            for k, i in enumerate(some):
-                scores[: lengths[k], k] = self.table[found[i][0]]
-            labels = viterbi(scores, lengths, self.penalty)
-            for k, i in enumerate(some):
-                out[i] = labels[: lengths[k], k].copy(), found[i][1]
-            at = end
+        # a blank between texts ends their words
+        joined = np.frombuffer(" ".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.cumsum([0, *(len(t or "") + 1 for t in texts)])
+        begin, end = self.words(joined)
+        first = np.searchsorted(begin, at)
+        scores, sizes = self.scores(joined, begin, end), end - begin
+        each = [(int(a), int(b)) for a, b in zip(first, first[1:])]
+        out: list = [(np.zeros(0, np.int16), sizes[a:b]) for a, b in each]
+        order = sorted((i for i, (a, b) in enumerate(each) if b > a), key=lambda i: each[i][1] - each[i][0])
+        k = 0
+        while k < len(order):  # texts of like length together, of some 4 million scores at most
+            last = k + 1
+            while last < len(order) and (each[order[last]][1] - each[order[last]][0]) * (last + 1 - k) * len(self.model.langs) <= 4_000_000:
+                last += 1
+            some = order[k:last]
+            lengths = np.array([each[i][1] - each[i][0] for i in some])
+            dealt = np.zeros((lengths[-1], len(some), len(self.model.langs)), np.float32)
+            for j, i in enumerate(some):
+                dealt[: lengths[j], j] = scores[slice(*each[i])]
+            labels = viterbi(dealt, lengths, self.penalty)
+            for j, i in enumerate(some):
+                out[i] = labels[: lengths[j], j].copy(), out[i][1]
+            k = last
         return out
 
 
+def by_size(texts: list[str | None], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of some `most` characters together; a longer text is by itself."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size > most and i > a:
+            yield a, i
+            a, size = i, len(t or "")
+    if a < len(texts):
+        yield a, len(texts)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 20_000) -> Model:
     """Learns from labelled documents: those with a text and a lang.
 
@@ -222,9 +288,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", penalty: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model, penalty)
         n = len(model.langs)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                texts = batch.column(len(names))[k : k + 1000].to_pylist()
+        for batch in sliced(batches, 2000):
+            all_texts = batch.column(len(names)).to_pylist()
+            for k, end in by_size(all_texts):
+                texts = all_texts[k:end]
                 langs, scores, spans = [], [], []
                 for text, (labels, letters) in zip(texts, labeller.label(texts) if n else [(np.zeros(0, int), ())] * len(texts)):
                     by = np.bincount(labels, letters, n) if len(labels) else ()
@@ -237,7 +304,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", penalty: floa
                                 own.append({"start": m.start(), "end": m.end(), "lang": model.langs[lang]})
                             own[-1]["end"] = m.end()
                         spans.append(own)
-                cols = [batch.column(i)[k : k + 1000] for i in range(len(names))] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+                cols = [batch.column(i)[k:end] for i in range(len(names))] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
                 cols += [pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))] if with_spans else []
                 yield pa.RecordBatch.from_arrays(cols, [*names, "lang_pred", "score", *["spans"] * with_spans])
 
