@@ -111,9 +111,9 @@ class FragmentTable:
 
     def reset(self) -> None:
         self.keys, self.where = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
-        self.first, self.n, self.pool, self.size, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, self.kind), 0, 0
+        self.first, self.n, self.pool, self.size, self.used = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, self.kind), 0, 0
         # of every entry the fragment's length, its first eight bytes, and where the rest of it lies
-        self.length, self.head, self.tail, self.bytes, self.bytes_used = np.zeros(1024, np.int64), np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(4096, np.uint8), 0
+        self.length, self.head, self.tail, self.bytes, self.bytes_used = np.zeros(1024, np.int32), np.zeros(1024, np.uint64), np.zeros(1024, np.int32), np.zeros(4096, np.uint8), 0
 
     def slots(self, h: np.ndarray) -> np.ndarray:
         """The slot of each hash: its own, or the empty one where it would go."""
@@ -174,7 +174,7 @@ class FragmentTable:
             self.put(new, self.learned(data, starts[one], ends[one]), data, starts[one], size[one])
             at = self.slots(h)
         place = self.where[at]
-        first, n, pool = self.first[place], self.n[place], self.pool
+        first, n, pool = self.first[place].astype(np.int64), self.n[place].astype(np.int64), self.pool
         other = self.others(place, data, starts, size)
         if len(other):
             ids = self.learned(data, starts[other], ends[other])
