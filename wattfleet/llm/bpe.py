@@ -205,7 +205,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     ids_sha256 is of the decimal ids joined by commas, decoded_sha256 of the decoded text in UTF-8.
     A null text counts as empty: no ids, and the digests of the empty string. A null or repeated
     identifier is carried as it is, one output row per input row. The text of a special token is
-    encoded as that token. Other columns are ignored.
+    encoded as that token. Very long texts are cut and encoded whole, an empty table gives no rows.
+    Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

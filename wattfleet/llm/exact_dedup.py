@@ -50,7 +50,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts
     the largest (or smallest) identifier stays. A null identifier never wins over another; where
     a group has none but null, keep_id is null and all its rows are kept. Rows that repeat an
-    identifier count separately in group_size and share its verdict. An empty table gives no rows.
+    identifier count separately in group_size and share its verdict. An empty table gives no rows; very
+    long texts are hashed whole.
     Other columns are ignored.
     """
     rows = saved(digests(docs, id_col, text_col), "exact-digests")

@@ -86,7 +86,7 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smallest. Chunks of one line are never removed; with whole, only a text of one line is one. Lines are compared byte by byte, and those that
     stay are joined by line feeds again. removed_lines counts what went. A null text stays null, an
     empty one is one empty line. Rows equal in identifier and text count as one document. A column
-    of docs that has the added name is replaced. An empty table gives no rows.
+    of docs that has the added name is replaced. An empty table gives no rows; texts may be of any length.
     """
     joined = with_repeats(docs, id_col, text_col, divisor, whole)
     gone = F.filter("__lc", lambda c: ~c["_stays"] & ~F.coalesce(F.array_contains("__lc_differ", c["_chunk"]), F.lit(False)))

@@ -148,7 +148,8 @@ def pack(
     with_ids. Each id lies in exactly one piece, offsets have no gaps, and all sequences but the
     last are full. weights sets target shares by source; by default sources are mixed by their
     tokens. Null sources form a queue. Null or repeated identifiers are carried, each row being a
-    document of its own. An empty table gives no rows; other columns are ignored. Every source has a
+    document of its own; a very long one fills sequence after sequence. An empty table gives no rows;
+    other columns are ignored. Every source has a
     queue of its own, however many there are; driver and tasks hold one total per source.
     """
     spark = docs.sparkSession

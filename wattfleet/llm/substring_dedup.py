@@ -80,7 +80,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     never cut, since headings and short phrases repeat by right. removed_spans lists what was cut
     as start-end pairs in the original text ("0-80,120-300"; empty if nothing was), n_removed
     their number. A null text stays null. Rows equal in identifier and text count as one document.
-    If docs has columns of the added names, those are replaced. An empty table gives no rows.
+    If docs has columns of the added names, those are replaced. An empty table gives no rows; texts may
+    be of any length.
     """
     cut = repeated_units(docs, id_col, text_col, min_words, unit).distinct()
     spans = cut.groupBy(F.col("_id").alias("__sd_id"), F.col("_row").alias("__sd_row")).agg(F.array_sort(F.collect_list(F.struct("_start", "_end"))).alias("__sd_spans"))

@@ -26,11 +26,14 @@ from wattfleet.llm.words import MARK, word_encoder
 SUPER = 1024
 
 
-def read_streams(spark: SparkSession, path: str, block_bytes: int = 4 << 20) -> DataFrame:
+def read_streams(spark: SparkSession, path: str, block_bytes: int = 4 << 20, id_bytes: int = 2) -> DataFrame:
     """Blocks (stream, block, tokens) of flat binary files. Only names and lengths are listed; each
     block is a byte range that its task reads by itself, so a file may have any size. An empty file
-    has no block. block_bytes must be a multiple of an id's width.
+    has no block. block_bytes must be a multiple of id_bytes, an id's width. Tasks read by Arrow's
+    file systems, so the path must lie in one that these know.
     """
+    if block_bytes % id_bytes:
+        raise ValueError("a block must hold whole ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +118,8 @@ def count_tokens(blocks: DataFrame, end_id: int, dtype: str = "<u2") -> DataFram
     blocks: stream, block (0, 1, ... in order), tokens (whole ids of dtype). A stream's last tokens
     without a separator after them form a document that isn't complete. Documents may be empty; an
     empty stream has none. Blocks with null tokens count as empty; rows with a null stream form a
-    stream. Bytes at a block's end that make no whole id are no token. Other columns are ignored.
+    stream. Bytes at a block's end that make no whole id are no token. A document may span any number
+    of blocks, an empty table gives no rows. Other columns are ignored.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +150,8 @@ def document_token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_i
     """Writes docs as token streams, scans these, and gives each counted document its identifier back by its ordinal.
 
     Rows: id, stream, ordinal, start, n_tokens, complete. A null or empty text is a document of no
-    tokens; null and repeated identifiers are carried, one row per row of docs.
+    tokens; null and repeated identifiers are carried, one row per row of docs. A very long text spans
+    blocks, an empty table gives no rows, other columns are ignored.
     """
     blocks, manifest = write_streams(docs, vocabulary, id_col, text_col, block_tokens)
     enc = word_encoder(vocabulary, False)
