@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -220,7 +221,7 @@ class Labeller:
         return out
 
 
-def by_size(texts: list[str | None], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def by_size(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of some `most` characters together; a longer text is by itself."""
     a = size = 0
     for i, t in enumerate(texts):
@@ -274,7 +275,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = 6.0, with_spans: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns `keep`) with lang_pred and score, and spans (start, end, lang) if with_spans.
+    """docs (or its columns `keep`) with lang_pred and score, and spans (start, end, lang) if with_spans; text_col may be a field of a struct.
 
     lang_pred is the language of most letters, the alphabetically first in ties, score their share.
     A text that is null or without a letter is `und` with score 0, and so is every text if nothing
@@ -283,13 +284,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", penalty: floa
     repeat get the same one, and an empty table gives no rows.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "spans")]
-    slim = docs.select(*names, F.col(text_col).alias("__li_text"))
+    # a text inside a column that goes along isn't sent twice
+    outer, _, inner = text_col.partition(".")
+    nested = bool(inner) and outer in names
+    slim = docs.select(*names, *([] if nested else [F.col(text_col).alias("__li_text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model, penalty)
         n = len(model.langs)
-        for batch in sliced(batches, 2000):
-            all_texts = batch.column(len(names)).to_pylist()
+        for batch in sliced(batches, 1000):
+            all_texts = (pc.struct_field(batch.column(names.index(outer)), inner) if nested else batch.column(len(names))).to_pylist()
             for k, end in by_size(all_texts):
                 texts = all_texts[k:end]
                 langs, scores, spans = [], [], []
@@ -310,7 +314,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", penalty: floa
 
     spans = StructField("spans", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("lang", StringType())])))
     added = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), *[spans] * with_spans]
-    return slim.mapInArrow(run, StructType([*slim.schema.fields[:-1], *added]))
+    return slim.mapInArrow(run, StructType([*slim.schema.fields[: len(names)], *added]))
 
 
 def held_out(id_col: str = "doc_id"):
