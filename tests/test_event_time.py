@@ -1,6 +1,7 @@
 """State machines on event time: order, late rows, timers and expiry. The registered streams are held against their SQL in test_oracle."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,21 @@ def test_commands_without_an_effect(spark):
 
     out = appended(spark, slices(spark, *parts, *[[(None, s * S, None, None)] for s in (500, 900)], schema=schema), build).filter("command IS NOT NULL")
     assert {r.command: r.effect_value for r in out.collect()} == {1: 2, 4: None, 5: 6, 7: None}
+
+
+def test_state_is_by_bucket(spark):
+    # a call to the state store for each of many devices costs more than their rows
+    event_time.rocksdb(spark)
+    n = 6000
+    source = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", n).option("numPartitions", 2).option("advanceMillisPerBatch", 1000).load()
+    rows = source.select((F.col("value") % n).alias("user"), (F.col("value") * S).alias("us"), F.col("value").alias("n"))
+    out = event_time.throttle_stream(rows, "user", ["us", "n"], "us", S, "1 second")
+    query = out.writeStream.format("noop").start()
+    try:
+        while not any(p.numInputRows for p in query.recentProgress):
+            assert query.isActive
+            time.sleep(0.2)
+        held = max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.numInputRows)
+    finally:
+        query.stop()
+    assert 0 < held < n

@@ -1,10 +1,14 @@
 """State machines on event time: rows wait until the watermark has passed them and are then worked on in order.
 
 Rows of a device may come in any order within the delay, over any number of micro-batches. Spark
-drops rows that are behind the watermark (streams.LateRows sets them apart first). Nothing holds a
-key as a whole: rows that wait are a list in the state store, read in pieces, and bounded by the
-delay; all else of a key is one small row. One timer per key fires when its next row is due, when
-its silence has lasted, or when its state expires.
+drops pieces that are behind the watermark, and of others the rows that their bucket has worked past
+go (late.LateRows sets late rows apart first). Devices are dealt
+out to BUCKETS by the hash of their key, and a bucket is what Spark groups by: what a device needs
+is small, but every access to the state store is a call to the JVM, and every row that Spark hands to
+a stateful process is converted by itself, so each by device and row cost more than all the work. So
+tasks pack the rows of a bucket into pieces before the shuffle. Rows that wait are a list of pieces in
+the state store, bounded by the delay; all else of a device is one small row. One timer per bucket fires when the next row of any of its devices is
+due, when a silence has lasted, or when a state expires.
 
 Time passes only with rows. A row with a null key is a tick: it moves the watermark and nothing
 else, so that a stream without new rows can still finish what waits.
@@ -14,16 +18,21 @@ These streams need the RocksDB state store (`rocksdb`).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import pickle
+from collections.abc import Callable, Hashable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ListState
 
 from wattfleet.operators.sequences import connection_step, phase_step, stability_step
 
-#: Rows that go to or come from a list in the state store at a time.
-PIECE = 1000
+#: Rows or devices in one entry of a list in the state store, and rows that a task holds while it packs them.
+PIECE, HELD = 1000, 100_000
+#: Groups that devices are dealt out to. A bucket's devices and waiting rows are in memory while it is worked on: some 500 devices of 540,000.
+BUCKETS = 1024
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -37,14 +46,30 @@ def millis(us: int) -> int:
     return -(-us // 1000)
 
 
+def add(state: ListState, items: list[tuple]) -> None:
+    """Appends items, a piece in a call."""
+    for i in range(0, len(items), PIECE):
+        state.appendList([(pickle.dumps(items[i : i + PIECE]),)])
+
+
+def unpacked(entries: Iterator[tuple[bytes]]) -> Iterator[tuple]:
+    for (piece,) in entries:
+        yield from pickle.loads(bytes(piece))
+
+
+def same(key) -> Hashable:
+    """Equal for keys that Spark groups together: lists and bytes have no hash in Python, and NaN isn't equal to itself."""
+    return key if type(key).__hash__ is not None and key == key else repr(key)
+
+
 class InOrder(StatefulProcessor):
-    """Hands a key's rows to on_row() in order, each once the watermark has passed it.
+    """Hands every device's rows to on_row() in order, each once the watermark has passed it.
 
-    A subclass has a state of its own, a tuple of `state` (DDL), that starts as begin().
+    A subclass has a state of its own for a device, a tuple that starts as begin().
     """
 
-    def __init__(self, rows: str, names: list[str], order: list[str], state: str, keep_us: int | None):
-        self.rows, self.names, self.keep_us, self.state = rows, names, keep_us, state
+    def __init__(self, names: list[str], key: str, order: list[str], keep_us: int | None):
+        self.names, self.key, self.keep_us = names, names.index(key), keep_us
         self.at, self.order = names.index(order[0]), [names.index(c) for c in order]
 
     def begin(self) -> tuple:
@@ -54,71 +79,80 @@ class InOrder(StatefulProcessor):
         """The state after a row, and what comes out."""
         raise NotImplementedError
 
-    def on_quiet(self, key: tuple, state: tuple, last: int, now: int) -> tuple[tuple, list[tuple], int | None]:
-        """Called when all rows up to `now` are done: the state, what comes out, and when to be called again if nothing comes."""
+    def on_quiet(self, key, state: tuple, last: int, now: int) -> tuple[tuple, list[tuple], int | None]:
+        """Called when all of a device's rows up to `now` are done: the state, what comes out, and when to be called again if nothing comes."""
         return state, [], None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.rows)
-        self.kept = handle.getValueState("kept", f"due long, last long, {self.state}")
+        self.waiting = handle.getListState("waiting", "piece binary")
+        # pieces of (key, when to look at it if nothing comes, its last row's time, *state)
+        self.kept = handle.getListState("kept", "piece binary")
+        # the timer, and the watermark up to which all rows are done
+        self.mark = handle.getValueState("mark", "due long, passed long")
         self.out = Row(*self.columns)
 
-    def wake(self, old: int | None, due: int | None) -> None:
-        """One timer at a time."""
-        if old != due:
-            if old is not None:
-                self.handle.deleteTimer(old)
-            if due is not None:
-                self.handle.registerTimer(due)
-
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if key[0] is None:  # a tick
             for _ in rows:
                 pass
             return
-        piece, first = [], None
-        for row in rows:
-            values = tuple(row[c] for c in self.names)
-            first = values[self.at] if first is None else min(first, values[self.at])
-            piece.append(values)
-            if len(piece) >= PIECE:
-                self.waiting.appendList(piece)
-                piece = []
-        if piece:
-            self.waiting.appendList(piece)
-        due, last, *state = self.kept.get() if self.kept.exists() else (None, None, *self.begin())
-        new = millis(first) if due is None else min(due, millis(first))
-        if new != due:
-            self.wake(due, new)
-            self.kept.update((new, last, *state))
+        due, passed = self.mark.get() or (None, None)
+        new = due
+        for _, first, piece, *_ in rows:
+            if passed is not None and first <= passed:
+                some = [row for row in pickle.loads(piece) if row[self.at] > passed]
+                if not some:
+                    continue
+                first, piece = min(row[self.at] for row in some), pickle.dumps(some)
+            self.waiting.appendValue((piece,))
+            new = millis(first) if new is None else min(new, millis(first))
+        if new != due:  # one timer at a time
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(new)
+            self.mark.update((new, passed))
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now, fired = timerValues.getCurrentWatermarkInMs() * 1000, expiredTimerInfo.getExpiryTimeInMs()
-        _, last, *state = self.kept.get()
-        state, ready, later = tuple(state), [], []
-        for row in self.waiting.get():
-            (ready if row[self.at] <= now else later).append(tuple(row))
-        if later:
-            self.waiting.put(later)
-        else:
-            self.waiting.clear()
-        ready.sort(key=lambda row: [(row[c] is not None, row[c]) for c in self.order])
-        for row in ready:
-            state, found = self.on_row(state, row)
-            last = row[self.at]
-            yield from (self.out(*f) for f in found)
-        state, found, again = self.on_quiet(key, state, last, now)
-        yield from (self.out(*f) for f in found)
-        ends = None if self.keep_us is None or last is None else last + self.keep_us
-        if not later and ends is not None and ends <= now:
-            self.kept.clear()
-            return
-        dues = [millis(t) for t in (min((r[self.at] for r in later), default=None), again, ends) if t is not None]
-        due = max(min(dues), fired + 1) if dues else None  # the timer that fired is deleted after this
-        self.wake(None, due)
-        self.kept.update((due, last, *state))
+        kept = {same(k): (k, look, last, state) for k, look, last, *state in unpacked(self.kept.get())}
+        ready, later, next_row = {}, [], {}
+        for row in unpacked(self.waiting.get()):
+            device, us = same(row[self.key]), row[self.at]
+            if us <= now:
+                ready.setdefault(device, []).append(row)
+            else:
+                later.append(row)
+                next_row[device] = min(us, next_row.get(device, us))
+        for device in [*ready, *(d for d, (_, look, *_) in kept.items() if look is not None and look <= now and d not in ready)]:
+            rows = ready.pop(device, [])
+            name, _, last, state = kept.get(device) or (rows[0][self.key], None, None, self.begin())
+            state = tuple(state)
+            rows.sort(key=lambda row: [(row[c] is not None, row[c]) for c in self.order])
+            for row in rows:
+                state, found = self.on_row(state, row)
+                last = row[self.at]
+                for f in found:
+                    yield self.out(*f)
+            state, found, again = self.on_quiet(name, state, last, now)
+            for f in found:
+                yield self.out(*f)
+            ends = None if self.keep_us is None else last + self.keep_us
+            if ends is not None and ends <= now:
+                if device not in next_row:
+                    kept.pop(device, None)
+                    continue
+                ends = None  # a row waits, at which it is looked at again
+            kept[device] = name, min((t for t in (again, ends) if t is not None), default=None), last, state
+        for stored, items in ((self.waiting, later), (self.kept, [(k, look, last, *state) for k, look, last, state in kept.values()])):
+            stored.clear()
+            add(stored, items)
+        dues = [*next_row.values(), *(look for _, look, *_ in kept.values() if look is not None)]
+        due = max(millis(min(dues)), fired + 1) if dues else None  # the timer that fired is deleted after this
+        if due is not None:
+            self.handle.registerTimer(due)
+        self.mark.update((due, now))
 
     def close(self) -> None:
         pass
@@ -127,8 +161,8 @@ class InOrder(StatefulProcessor):
 class Fold(InOrder):
     """Rows with the values that step(state, *inputs) -> (state, values) gives."""
 
-    def __init__(self, rows, names, order, state, keep_us, inputs, start, step, added):
-        super().__init__(rows, names, order, state, keep_us)
+    def __init__(self, names, key, order, keep_us, inputs, start, step, added):
+        super().__init__(names, key, order, keep_us)
         self.inputs, self.start, self.step, self.columns = [names.index(c) for c in inputs], start, step, [*names, *added]
 
     def begin(self):
@@ -142,16 +176,16 @@ class Fold(InOrder):
 class Silence(InOrder):
     """The last row before every silence of more than gap_us, as soon as it has lasted that long, whether or not a row follows."""
 
-    def __init__(self, rows, names, order, keep_us, gap_us):
-        super().__init__(rows, names, order, "told boolean, before long", keep_us)
-        self.gap_us, self.columns = gap_us, [names[0], "silent_from"]
+    def __init__(self, names, key, order, keep_us, gap_us):
+        super().__init__(names, key, order, keep_us)
+        self.gap_us, self.columns = gap_us, [key, "silent_from"]
 
     def begin(self):
         return False, None
 
     def on_row(self, state, row):
         told, before = state
-        found = [(row[0], before)] if before is not None and not told and row[self.at] - before > self.gap_us else []
+        found = [(row[self.key], before)] if before is not None and not told and row[self.at] - before > self.gap_us else []
         return (False, row[self.at]), found
 
     def on_quiet(self, key, state, last, now):
@@ -159,19 +193,56 @@ class Silence(InOrder):
         if told or before is None:
             return state, [], None
         if now - before > self.gap_us:
-            return (True, before), [(key[0], before)], None
+            return (True, before), [(key, before)], None
         return state, [], before + self.gap_us + 1
 
 
-def watermarked(df: DataFrame, at: str, delay: str) -> DataFrame:
-    return df.filter(F.col(at).isNotNull()).withColumn("_ts", F.timestamp_micros(at)).withWatermark("_ts", delay)
-
-
 def ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def fold_in_order(df: DataFrame, key: str, order: list[str], inputs: list[str], start: tuple, step: Callable, state: str, outputs: str, delay: str, keep_us: int | None = None) -> DataFrame:
+def packed(df: DataFrame, key: str, at: str, buckets: int) -> DataFrame:
+    """Rows with a time as pieces of pickled rows of one bucket: _bucket (null for ticks), _first and _last of their times, _piece; a narrow map."""
+    names = df.columns
+    # the hash of equal keys is equal
+    bucket = F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(buckets)))
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        by: dict = {}
+        for batch in held:
+            *columns, numbers = [c.to_pylist() for c in batch.columns]
+            for number, row in zip(numbers, zip(*columns)):
+                by.setdefault(number, []).append(row)
+        i, out = names.index(at), []
+        for number, rows in by.items():
+            for a in range(0, len(rows), PIECE):
+                some = rows[a : a + PIECE]
+                times = [row[i] for row in some]
+                out.append((number, min(times), pickle.dumps(some), max(times)))
+        columns = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["_bucket", "_first", "_piece", "_last"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= HELD:
+                yield pack(held)
+                held = []
+        if held:
+            yield pack(held)
+
+    return df.filter(F.col(at).isNotNull()).select(*names, bucket.alias("_bucket")).mapInArrow(run, "_bucket long, _first long, _piece binary, _last long")
+
+
+def by_bucket(df: DataFrame, key: str, at: str, delay: str, process: InOrder, outputs: str, buckets: int) -> DataFrame:
+    """Runs the process on a stream, whose columns it gets in their order."""
+    pieces = packed(df, key, at, buckets).withColumn("_ts", F.timestamp_micros("_last")).withWatermark("_ts", delay)
+    return pieces.groupBy("_bucket").transformWithState(process, outputs, "append", "eventTime")
+
+
+def fold_in_order(df: DataFrame, key: str, order: list[str], inputs: list[str], start: tuple, step: Callable, outputs: str, delay: str, keep_us: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The streaming form of sequences.fold: the same rows with the same values, for rows out of order within the delay.
 
     order: the event time in microseconds first, then what decides ties. A key that has been silent
@@ -179,8 +250,8 @@ def fold_in_order(df: DataFrame, key: str, order: list[str], inputs: list[str],
     left out.
     """
     added = [part.split()[0] for part in outputs.split(",")]
-    process = Fold(ddl(df), df.columns, order, state, keep_us, inputs, start, step, added)
-    return watermarked(df, order[0], delay).groupBy(key).transformWithState(process, f"{ddl(df)}, {outputs}", "append", "eventTime")
+    process = Fold(df.columns, key, order, keep_us, inputs, start, step, added)
+    return by_bucket(df, key, order[0], delay, process, f"{ddl(df)}, {outputs}", buckets)
 
 
 def throttle_step(gap: int) -> Callable:
@@ -196,22 +267,22 @@ def throttle_step(gap: int) -> Callable:
 
 def throttle_stream(df: DataFrame, key: str, order: list[str], at: str, gap: int, delay: str, anchor: int | None = None, keep_us: int | None = None) -> DataFrame:
     """Adds kept, as sequences.throttle."""
-    return fold_in_order(df, key, order, [at], (anchor,), throttle_step(gap), "before long", "kept boolean", delay, keep_us)
+    return fold_in_order(df, key, order, [at], (anchor,), throttle_step(gap), "kept boolean", delay, keep_us)
 
 
 def phase_slots_stream(df: DataFrame, key: str, order: list[str], at: str, interval: int, delay: str, start: int = 0, keep_us: int | None = None) -> DataFrame:
     """Adds slot and resynced, as sequences.phase_slots."""
-    return fold_in_order(df, key, order, [at], (start,), phase_step(interval), "before long", "slot long, resynced boolean", delay, keep_us)
+    return fold_in_order(df, key, order, [at], (start,), phase_step(interval), "slot long, resynced boolean", delay, keep_us)
 
 
 def stability_stream(df: DataFrame, key: str, order: list[str], updated: str, crashed: str, delay: str, limit: int = 3, keep_us: int | None = None) -> DataFrame:
     """Adds verdict, as sequences.update_stability."""
-    return fold_in_order(df, key, order, [updated, crashed], (False, 0), stability_step(limit), "fresh boolean, crashes long", "verdict string", delay, keep_us)
+    return fold_in_order(df, key, order, [updated, crashed], (False, 0), stability_step(limit), "verdict string", delay, keep_us)
 
 
 def connection_stream(df: DataFrame, key: str, order: list[str], at: str, kind: str, grace: int, delay: str, failures: int = 5, keep_us: int | None = None) -> DataFrame:
     """Adds state, as sequences.connection_state."""
-    return fold_in_order(df, key, order, [at, kind], ("online", None, 0, False), connection_step(grace, failures), "mode string, since long, run long, pending boolean", "state string", delay, keep_us)
+    return fold_in_order(df, key, order, [at, kind], ("online", None, 0, False), connection_step(grace, failures), "state string", delay, keep_us)
 
 
 def outage_step(state: tuple, now: int, connected: bool) -> tuple[tuple, tuple]:
@@ -224,7 +295,7 @@ def outage_step(state: tuple, now: int, connected: bool) -> tuple[tuple, tuple]:
 
 def outages_stream(df: DataFrame, key: str, order: list[str], flag: str, delay: str, grace_s: float = 30, keep_us: int | None = None) -> DataFrame:
     """Outages that have ended, as sequences.outages has them: key, outage_start, outage_end (in microseconds), rows, duration_s, beyond_grace."""
-    out = fold_in_order(df, key, order, [order[0], flag], (None, 0), outage_step, "start long, n long", "outage_start long, rows long", delay, keep_us).filter("outage_start IS NOT NULL")
+    out = fold_in_order(df, key, order, [order[0], flag], (None, 0), outage_step, "outage_start long, rows long", delay, keep_us).filter("outage_start IS NOT NULL")
     seconds = (F.col(order[0]) - F.col("outage_start")) / 1e6
     return out.select(key, "outage_start", F.col(order[0]).alias("outage_end"), "rows", seconds.alias("duration_s"), (seconds > grace_s).alias("beyond_grace"))
 
@@ -235,109 +306,33 @@ def silence_stream(df: DataFrame, key: str, at: str, gap_us: int, delay: str, ke
     keep_us, if given, should be more than gap_us, or a state goes before its silence is told.
     """
     df = df.select(key, at)
-    process = Silence(ddl(df), df.columns, [at], keep_us, gap_us)
+    process = Silence(df.columns, key, [at], keep_us, gap_us)
     kind = df.schema[key].dataType.simpleString()
-    return watermarked(df, at, delay).groupBy(key).transformWithState(process, f"`{key}` {kind}, silent_from long", "append", "eventTime")
-
-
-class ConfigInForce(StatefulProcessor):
-    """Readings with the configuration written last at or before the last boot at or before them.
-
-    Boots and configurations are versions by time in map state; readings wait in a list until the
-    watermark has passed them. Then versions that no later reading can ask for are dropped: boots
-    before the last one that the watermark has passed, and configurations before the one that it read.
-    """
-
-    columns = ("event_id", "booted_at", "config_at", "config_value")
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.boots = handle.getMapState("boots", "us long", "id long")
-        self.configs = handle.getMapState("configs", "us long", "id long, value double")
-        self.waiting = handle.getListState("waiting", "us long, id long")
-        self.due = handle.getValueState("due", "due long")
-        self.out = Row(*self.columns)
+    return by_bucket(df, key, at, delay, process, f"`{key}` {kind}, silent_from long", BUCKETS)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if key[0] is None:  # a tick
-            for _ in rows:
-                pass
-            return
-        piece, first = [], None
-        for row in rows:
-            first = row.us if first is None else min(first, row.us)
-            if row.kind == "boot":
-                self.boots.updateValue((row.us,), (row.event_id,))
-            elif row.kind == "config":
-                old = self.configs.getValue((row.us,))
-                if old is None or old[0] < row.event_id:  # of two at one time the one with the largest id counts
-                    self.configs.updateValue((row.us,), (row.event_id, row.value))
-            else:
-                piece.append((row.us, row.event_id))
-                if len(piece) >= PIECE:
-                    self.waiting.appendList(piece)
-                    piece = []
-        if piece:
-            self.waiting.appendList(piece)
-        old = self.due.get()[0] if self.due.exists() else None
-        if old is None or millis(first) < old:
-            if old is not None:
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(millis(first))
-            self.due.update((millis(first),))
-        yield from ()
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        from bisect import bisect_right
-
-        now, fired = timerValues.getCurrentWatermarkInMs() * 1000, expiredTimerInfo.getExpiryTimeInMs()
-        boots = sorted(k[0] for k in self.boots.keys())
-        configs = sorted((k[0], v[1]) for k, v in self.configs.iterator())
-        at = [us for us, _ in configs]
-
-        def in_force(us: int) -> tuple:
-            b = bisect_right(boots, us)
-            c = bisect_right(at, boots[b - 1]) if b else 0
-            return (boots[b - 1] if b else None, *(configs[c - 1] if c else (None, None)))
-
-        later = []
-        for us, event_id in self.waiting.get():
-            if us <= now:
-                yield self.out(event_id, *in_force(us))
-            else:
-                later.append((us, event_id))
-        if later:
-            self.waiting.put(later)
-        else:
-            self.waiting.clear()
-        # no reading to come is at or before the watermark
-        booted, read, _ = in_force(now)
-        for us in boots:
-            if booted is not None and us < booted:
-                self.boots.removeKey((us,))
-        for us in at:
-            if read is not None and us < read:
-                self.configs.removeKey((us,))
-        dues = [us for us in (*(us for us, _ in later), *boots, *at) if us > now]
-        if dues:
-            due = max(millis(min(dues)), fired + 1)
-            self.handle.registerTimer(due)
-            self.due.update((due,))
-        else:
-            self.due.clear()
-
-    def close(self) -> None:
-        pass
+def config_in_force_step(state: tuple, now: int, kind: str, value: float | None) -> tuple[tuple, tuple]:
+    """The step of config_in_force on (last configuration's time and value; last boot's time, and what it read); no later row can ask for another."""
+    config_at, config, *booted = state
+    if kind == "config":
+        config_at, config = now, value
+    elif kind == "boot":
+        booted = now, config_at, config
+    return (config_at, config, *booted), tuple(booted)
 
 
 def config_in_force_stream(events: DataFrame, key: str, delay: str) -> DataFrame:
-    """event_id, booted_at, config_at (microseconds), config_value of every reading, as joins.enrich_as_of.
+    """event_id, booted_at, config_at (microseconds), config_value of every reading, as joins.enrich_as_of: the configuration written last at or before the last boot at or before it.
 
     events: one stream of key, us, event_id, kind (boot, config or reading) and value, so that one
     watermark stands for all of a device's rows.
     """
-    rows = watermarked(events.select(key, "us", "event_id", "kind", "value"), "us", delay)
-    return rows.groupBy(key).transformWithState(ConfigInForce(), "event_id long, booted_at long, config_at long, config_value double", "append", "eventTime")
+    # at one time configurations come before boots and those before readings; of two configurations the one with the largest id counts
+    turn = F.when(F.col("kind") == "config", 0).when(F.col("kind") == "boot", 1).otherwise(2)
+    rows = events.select(key, "us", "event_id", "kind", "value", turn.alias("turn"))
+    outputs = f"booted_at long, config_at long, config_value {rows.schema['value'].dataType.simpleString()}"
+    out = fold_in_order(rows, key, ["us", "turn", "event_id"], ["us", "kind", "value"], (None,) * 5, config_in_force_step, outputs, delay)
+    return out.filter("turn = 2").select("event_id", "booted_at", "config_at", "config_value")
 
 
 def command_effects_stream(commands: DataFrame, writes: DataFrame, key: str, command: str, within_s: int, delay: str) -> DataFrame:
