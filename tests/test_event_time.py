@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattfleet.operators import sequences
+from wattfleet.plans import stream_queries
 from wattfleet.plans.stream_queries import appended
 from wattfleet.streaming import event_time
 
@@ -104,3 +105,15 @@ def test_state_is_by_bucket(spark):
     finally:
         query.stop()
     assert 0 < held < n
+
+
+def test_batches_write_what_they_changed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_queries, "scratch", lambda _: str(tmp_path))
+    schema = "user string, us long, n long, kind string"
+
+    def build(rows):
+        rows = rows.withColumn("at", F.timestamp_micros("us"))
+        return event_time.command_effects_stream(rows.withColumnRenamed("n", "command"), rows.withColumnRenamed("n", "value"), "user", "command", 20, "30 seconds")
+
+    appended(spark, slices(spark, [("a", 10 * S, 1, "c")], schema=schema), build)
+    assert list((tmp_path / "state" / "state").rglob("*.changelog"))
