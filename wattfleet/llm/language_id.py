@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from wattfleet.llm.common import memory_returned
 from wattfleet.llm.fragments import sliced
 
 UNKNOWN = "und"
@@ -119,8 +120,8 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 @lru_cache(maxsize=1)
 def characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By code point: 1 for letters and 2 for marks; its lower case; whether that depends on what stands around it or is several code points."""
-    points = [*range(0xD800), *range(0xE000, 0x110000)]
-    all_ = "".join(map(chr, points))
+    points = np.concatenate([np.arange(0xD800, dtype="<u4"), np.arange(0xE000, 0x110000, dtype="<u4")])
+    all_ = points.tobytes().decode("utf-32-le")
     kind, lower, odd = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, bool)
     for number, runs in ((1, regex.finditer(r"\p{L}+", all_)), (2, regex.finditer(r"\p{M}+", all_))):
         for m in runs:
@@ -266,7 +267,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (langs, kinds, keys)] + [pa.array(n.values(), pa.int64())], ["lang", "kind", "key", "n"])
         n.clear()
 
-    counted = rows.select("text", "lang").mapInArrow(count, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    counted = rows.select("text", "lang").mapInArrow(memory_returned(count), "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {}
     scripts: dict[str, dict[str, int]] = {}
     for r in counted.collect():
@@ -314,7 +315,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", penalty: floa
 
     spans = StructField("spans", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("lang", StringType())])))
     added = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), *[spans] * with_spans]
-    return slim.mapInArrow(run, StructType([*slim.schema.fields[: len(names)], *added]))
+    return slim.mapInArrow(memory_returned(run), StructType([*slim.schema.fields[: len(names)], *added]))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattfleet.llm.common import forget, saved
+from wattfleet.llm.common import forget, memory_returned, saved
 from wattfleet.llm.components import components
 from wattfleet.llm.fragments import blocks, flat, hashes
 from wattfleet.llm.words import CLASSES, LOWER
@@ -109,7 +109,7 @@ def shingled(docs: DataFrame, width: int, values: int, id_col: str, text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 1000], *cols], ["_id", "n_shingles", "_key", "_sig", "_sketch"])
 
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return slim.mapInArrow(run, f"_id {slim.schema[0].dataType.simpleString()}, n_shingles long, _key binary, _sig binary, _sketch binary")
+    return slim.mapInArrow(memory_returned(run), f"_id {slim.schema[0].dataType.simpleString()}, n_shingles long, _key binary, _sig binary, _sketch binary")
 
 
 def digest(shingles: np.ndarray) -> bytes | None:
@@ -127,7 +127,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_co
                 yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 500], *cols], ["_id", "n_shingles", "_key", "_set"])
 
     slim = some_of(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), ids, ["_id"])
-    sets = slim.mapInArrow(run, f"_id {slim.schema[0].dataType.simpleString()}, n_shingles long, _key binary, _set binary")
+    sets = slim.mapInArrow(memory_returned(run), f"_id {slim.schema[0].dataType.simpleString()}, n_shingles long, _key binary, _set binary")
     return sets.filter("_key IS NOT NULL").dropDuplicates(["_id", "_key"])
 
 
@@ -145,7 +145,7 @@ def deeper(sets: DataFrame, values: int, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.binary())], ["_id", "n_shingles", "_sig"])
 
     slim = sets.select("_id", "n_shingles", "_set")
-    return slim.mapInArrow(run, f"_id {slim.schema[0].dataType.simpleString()}, n_shingles long, _sig binary")
+    return slim.mapInArrow(memory_returned(run), f"_id {slim.schema[0].dataType.simpleString()}, n_shingles long, _sig binary")
 
 
 def orders(reps: DataFrame, trees: range, base: int, depth: int) -> DataFrame:
@@ -167,7 +167,7 @@ def orders(reps: DataFrame, trees: range, base: int, depth: int) -> DataFrame:
 
     slim = reps.select("_id", "_comp", "n_shingles", "_sig")
     kind = slim.schema[0].dataType.simpleString()
-    return slim.mapInArrow(run, f"_tree int, _sig binary, _id {kind}, _comp {kind}, n_shingles long")
+    return slim.mapInArrow(memory_returned(run), f"_tree int, _sig binary, _id {kind}, _comp {kind}, n_shingles long")
 
 
 def walk(region: np.ndarray, comp: np.ndarray, size: np.ndarray, reach: int, percent: int, fresh: int = 0, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -272,7 +272,7 @@ def walked(rows: DataFrame, base: int, reach: int, percent: int, whole: bool = T
 
     schema = f"_part int, _side int, _tree int, _sig binary, _id {kind}, _comp {kind}, n_shingles long, a {kind}, b {kind}, ca {kind}, cb {kind}"
     parted = rows.select(plain).repartitionByRange("_tree", "_sig", "_id").sortWithinPartitions("_tree", "_sig", "_id")
-    found = saved(parted.mapInArrow(run, schema), "walk")
+    found = saved(parted.mapInArrow(memory_returned(run), schema), "walk")
 
     def over(t: pa.Table) -> pa.Table:
         t = t.sort_by([("_side", "ascending"), ("_tree", "ascending"), ("_sig", "ascending"), ("_id", "ascending")])
@@ -307,7 +307,7 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 n = x.shape[1]
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= n * p - 6 * (n * p * (1 - p)) ** 0.5))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+    return both.select("a", "b", "sa", "sb").mapInArrow(memory_returned(run), f"a {kind}, b {kind}")
 
 
 def some_of(sets: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
@@ -332,7 +332,7 @@ def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], percent:
                 ok.append(100 * n >= percent * (len(x) + len(y) - n))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    out = saved(full.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}"), "verified")
+    out = saved(full.select("a", "b", "sa", "sb").mapInArrow(memory_returned(run), f"a {kind}, b {kind}"), "verified")
     forget(pairs, ids, whole)
     return out
 
@@ -382,7 +382,7 @@ def settled(rows: DataFrame, sets: DataFrame, percent: int, block: int = 2048) -
             small = [(hashes_of(x.as_py()) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.binary())], ["_id", "n_shingles", "_set"])
 
-    whole = sets.select("_id", "n_shingles", "_set").mapInArrow(shorter, f"_id {kind}, n_shingles long, _set binary")
+    whole = sets.select("_id", "n_shingles", "_set").mapInArrow(memory_returned(shorter), f"_id {kind}, n_shingles long, _set binary")
     # both sides are dealt out, so that no group is larger than two blocks
     mine, all_ = F.pmod(F.xxhash64("_id"), F.col("_blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
     held = members.withColumn("_block", mine).withColumn("_asking", all_).select(*keys, "_block", "_asking", "_id", "_own").join(whole, "_id")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattfleet.llm.common import saved
+from wattfleet.llm.common import memory_returned, saved
 from wattfleet.llm.words import word_encoder
 
 #: Bytes of (partition, queue) offsets that are broadcast at most; beyond it they are joined by a shuffle, with the same result.
@@ -125,7 +125,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_c
 
     slim = docs.select(id_col, text_col, F.col("_queue"))
     kind = slim.schema[0].dataType.simpleString()
-    return slim.mapInArrow(run, f"_part int, _queue string, _start long, `{id_col}` {kind}, doc_tokens long, _ids binary")
+    return slim.mapInArrow(memory_returned(run), f"_part int, _queue string, _start long, `{id_col}` {kind}, doc_tokens long, _ids binary")
 
 
 def pack(
@@ -165,12 +165,13 @@ def pack(
     mixture = (totals, window, weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, mix = word_encoder(vocabulary).kind, Mixture(*mixture)
+        mix = Mixture(*mixture)
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
-            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            for k, (queue, start, ids) in enumerate(rows):
-                wide = np.frombuffer(ids, kind).astype("<u4")
+            rows = zip(*(batch.column(i).to_pylist() for i in range(1, 5)))
+            for k, (queue, start, tokens, ids) in enumerate(rows):
+                # ids have two or four bytes, and no document is without one
+                wide = np.frombuffer(ids, f"<u{len(ids) // tokens}").astype("<u4")
                 for first, n, where in mix.pieces(queue, start, len(wide), sequence):
                     part = wide[first : first + n]
                     for c, x in zip(out, (k, first, n, zlib.crc32(part), len(wide), where // sequence, where % sequence, part)):
@@ -180,6 +181,6 @@ def pack(
             yield pa.RecordBatch.from_arrays(cols, names_out)
 
     names_out = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
-    joined = stored.join(offsets, ["_part", "_queue"]).select(id_col, "_queue", (F.col("_start") + F.col("_before")).alias("_start"), "_ids")
+    joined = stored.join(offsets, ["_part", "_queue"]).select(id_col, "_queue", (F.col("_start") + F.col("_before")).alias("_start"), "doc_tokens", "_ids")
     kinds = [joined.schema[0].dataType.simpleString(), *["long"] * 6, *["array<int>"] * with_ids]
-    return joined.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names_out, kinds)))
+    return joined.mapInArrow(memory_returned(run), ", ".join(f"`{n}` {k}" for n, k in zip(names_out, kinds)))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattfleet.llm.common import saved
+from wattfleet.llm.common import memory_returned, saved
 from wattfleet.llm.fragments import blocks, flat, hashes, sliced
 
 #: Bytes of text that are cut into words at a time.
@@ -171,18 +171,18 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     slim = docs.select(F.col(id_col).alias("_id"), row.alias("_row"), F.col(text_col).alias("_text"))
     kind = slim.schema["_id"].dataType.simpleString()
     # rows equal in identifier and text are one document
-    units = saved(slim.mapInArrow(sample, f"_id {kind}, _row long, _at int, _h long").select("_id", place("_at", "_row").alias("_place"), "_h"), "passage-units")
+    units = saved(slim.mapInArrow(memory_returned(sample), f"_id {kind}, _row long, _at int, _h long").select("_id", place("_at", "_row").alias("_place"), "_h"), "passage-units")
     first = units.groupBy("_h").agg(F.min(F.struct("_id", "_place")).alias("_f"), F.count("*").alias("_n")).filter("_n > 1")
     first = saved(first.select("_h", F.col("_f._id").alias("_fid"), F.col("_f._place").alias("_fplace")), "passage-first")
     again = units.join(first, "_h").filter(~(F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_place") == F.col("_fplace"))))
     again = again.select("_id", F.col("_place").bitwiseAND(0xFFFFFFFF).alias("_row"), F.struct(F.shiftright("_place", 32).cast("int").alias("_at"), "_fid", "_fplace").alias("_u"))
     near = again.groupBy("_id", "_row").agg(F.array_sort(F.collect_set("_u")).alias("_near"))
-    chains = saved(near.mapInArrow(chain, f"_id {kind}, _row long, _from long, _to long, _fid {kind}, _frow long, _ffrom long"), "passage-chains")
+    chains = saved(near.mapInArrow(memory_returned(chain), f"_id {kind}, _row long, _from long, _to long, _fid {kind}, _frow long, _ffrom long"), "passage-chains")
     ends = [("_id", "_row", F.col("_from")), ("_id", "_row", F.col("_to") - width), ("_fid", "_frow", F.col("_ffrom")), ("_fid", "_frow", F.col("_ffrom") + F.col("_to") - F.col("_from") - width)]
     asked = chains.select(F.explode(F.array(*[F.struct(F.col(i).alias("_nid"), F.col(r).alias("_nrow"), at.alias("_at")) for i, r, at in ends])).alias("_x")).select("_x.*")
     asked = asked.groupBy("_nid", "_nrow").agg(F.collect_set("_at").alias("_asked"))
     held = slim.join(asked, slim["_id"].eqNullSafe(F.col("_nid")) & (F.col("_row") == F.col("_nrow"))).select("_id", "_row", "_text", "_asked")
-    runs = saved(held.mapInArrow(exact, f"_id {kind}, _row long, _pos int, _h long, _g int").select("_id", place("_pos", "_row").alias("_place"), "_h", "_g"), "passage-runs")
+    runs = saved(held.mapInArrow(memory_returned(exact), f"_id {kind}, _row long, _pos int, _h long, _g int").select("_id", place("_pos", "_row").alias("_place"), "_h", "_g"), "passage-runs")
     least = runs.groupBy("_h", "_g").agg(F.min(F.struct("_id", "_place")).alias("_f"), F.count("*").alias("_n")).filter("_n > 1")
     least = saved(least.select("_h", "_g", F.col("_f._id").alias("_fid"), F.col("_f._place").alias("_fplace")), "passage-least")
     more = runs.join(least, ["_h", "_g"]).filter(~(F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_place") == F.col("_fplace"))))

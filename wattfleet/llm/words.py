@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
 from wattfleet.llm.bpe import byte_alphabet
+from wattfleet.llm.common import held_for_stage
 from wattfleet.llm.fragments import FragmentTable, blocks, flat
 
 MARK = "<|endoftext|>"
@@ -139,7 +138,7 @@ def _pre_tokens(word: str) -> list[str]:
 _FAST = bytes(b for b in range(256) if not ODD[b])
 
 
-@lru_cache(maxsize=2)
+@held_for_stage
 def word_encoder(path: str, special: bool = True) -> WordEncoder:
-    """One for each worker process, vocabulary and way with special tokens."""
+    """One for each worker process, vocabulary and way with special tokens, as long as the stage lasts."""
     return WordEncoder(path, special)
